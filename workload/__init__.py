@@ -1,0 +1,6 @@
+"""Queries of the library over the given tables, with SQL that checks them."""
+
+from workload import diffs, files  # noqa: F401
+from workload.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
