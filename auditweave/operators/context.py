@@ -1,5 +1,7 @@
 """Security context per project: framework, authentication, routes, models and roles."""
 
+import functools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +32,24 @@ def _any(patterns: Sequence[str]) -> str:
     return REGEX_FLAGS + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _plain(pattern: str) -> str | None:
+    """The text a pattern stands for, if it has no other meaning than that text."""
+    escaped = re.compile(r"\\(\W)")
+    if re.search(r"[\\.^$*+?{}\[\]|()]", escaped.sub("", pattern)):
+        return None
+    return escaped.sub(r"\1", pattern)
+
+
+def _contains_any(patterns: Sequence[str]) -> Column:
+    """Whether the content has a match. Plain texts are searched as such, which is much cheaper."""
+    plain = [_plain(p) for p in patterns]
+    regexes = [p for p, t in zip(patterns, plain) if t is None]
+    found = [F.contains("content", F.lit(t)) for t in plain if t is not None]
+    if regexes:
+        found.append(F.col("content").rlike(_any(regexes)))
+    return functools.reduce(lambda a, b: a | b, found, F.lit(False))
+
+
 def sample_files(
     files: DataFrame, limit: int = vocab.SAMPLE_FILES, max_bytes: int = vocab.MAX_FILE_BYTES
 ) -> DataFrame:
@@ -53,7 +73,7 @@ def _first_framework(catalogue: Catalogue) -> Column:
     """The first framework in catalogue order with any hit in the file, or null."""
     found = F.lit(None).cast("string")
     for name, patterns in reversed(catalogue.frameworks.items()):
-        found = F.when(F.col("content").rlike(_any(patterns)), F.lit(name)).otherwise(found)
+        found = F.when(_contains_any(patterns), F.lit(name)).otherwise(found)
     return found
 
 
@@ -75,8 +95,8 @@ def _hits_by_language(kinds: dict[str, Sequence[str]], trim: bool) -> Column:
 def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column:
     """First lines of the surroundings of every role hit.
 
-    The text is cut at its hits. A hit's surroundings then come from at most ``margin``
-    neighbouring pieces, each at most ``margin`` characters long, so the work stays linear.
+    The text is cut at its hits. A hit's surroundings then come from the few neighbouring pieces
+    that can lie within ``margin`` characters, each trimmed to that length, so the work is linear.
     """
     if not patterns:
         return F.array().cast("array<string>")
@@ -86,31 +106,34 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
         hits, gaps = bound["hits"], bound["gaps"]
         ends = F.transform(gaps, lambda g: F.right(g, F.lit(margin)))
         starts = F.transform(gaps, lambda g: F.left(g, F.lit(margin)))
-        # Piece i: the gap before hit i with the hit (left side), hit i with the gap after it (right side).
-        lead = F.transform(hits, lambda h, i: F.concat(F.get(ends, i), h))
-        tail = F.transform(hits, lambda h, i: F.concat(h, F.get(starts, i + 1)))
-
-        def around(pieces: Column) -> Column:
-            lead, tail = pieces["lead"], pieces["tail"]
+        shortest = F.array_min(F.transform(hits, lambda h: F.length(h)))
+        pieces = F.struct(
+            hits.alias("hits"), ends.alias("ends"), starts.alias("starts"),
+            # The gap before a hit with the hit, and the hit with the gap after it.
+            F.transform(hits, lambda h, i: F.concat(F.get(ends, i), h)).alias("lead"),
+            F.transform(hits, lambda h, i: F.concat(h, F.get(starts, i + 1))).alias("tail"),
+            F.ceil(F.lit(margin) / shortest).cast("int").alias("reach"),
+        )
 
+        def around(p: Column) -> Column:
             def one(hit: Column, i: Column) -> Column:
-                first = F.greatest(F.lit(0), i - margin)
-                before = F.concat(F.array_join(F.slice(lead, first + 1, i - first), ""), F.get(ends, i))
+                first = F.greatest(F.lit(0), i - p["reach"])
+                before = F.concat(F.array_join(F.slice(p["lead"], first + 1, i - first), ""), F.get(p["ends"], i))
                 after = F.concat(
-                    F.get(starts, i + 1), F.array_join(F.slice(tail, i + 2, F.lit(margin)), "")
+                    F.get(p["starts"], i + 1), F.array_join(F.slice(p["tail"], i + 2, p["reach"]), "")
                 )
-                around_hit = F.concat(F.right(before, F.lit(margin)), hit, F.left(after, F.lit(margin)))
-                return F.substring_index(text.strip(around_hit), "\n", 1)
+                window = F.concat(F.right(before, F.lit(margin)), hit, F.left(after, F.lit(margin)))
+                return F.substring_index(text.strip(window), "\n", 1)
 
-            return F.transform(hits, one)
+            return F.transform(p["hits"], one)
 
-        return text.bind(F.struct(lead.alias("lead"), tail.alias("tail")), around)
+        return F.when(F.size(hits) > 0, text.bind(pieces, around)).otherwise(F.array().cast("array<string>"))
 
-    pieces = F.struct(
+    cut = F.struct(
         F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("hits"),
         F.split("content", pattern, -1).alias("gaps"),
     )
-    return F.array_distinct(text.bind(pieces, contexts))
+    return F.array_distinct(text.bind(cut, contexts))
 
 
 def project_features(
@@ -118,12 +141,14 @@ def project_features(
 ) -> DataFrame:
     """Everything the context needs, one row per project of ``files``.
 
-    The sampled contents are shuffled once, by project. Language choice, extraction and the
-    final aggregate reuse that partitioning. A project contributes at most ``limit`` files of
-    ``vocab.MAX_FILE_BYTES`` bytes, which bounds both the window and the collected lists.
+    The sampled contents are shuffled once, by project; the hint keeps them from being broadcast
+    on an estimate. Search, language choice, extraction and the final aggregate reuse that
+    partitioning. A project contributes at most ``limit`` files of ``vocab.MAX_FILE_BYTES`` bytes,
+    which bounds both the window and the collected lists.
     """
-    sampled = sample_files(files, limit).withColumn("_framework", _first_framework(catalogue))
+    sampled = sample_files(files, limit).hint("merge")
     rows = manifest_languages(files, catalogue).join(sampled, "project", "left")
+    rows = rows.withColumn("_framework", _first_framework(catalogue))
     hit = F.when(F.col("_framework").isNotNull(), F.struct("path", "_framework"))
     first = F.min(hit).over(Window.partitionBy("project"))
     rows = rows.withColumn("framework", F.coalesce(first["_framework"], F.lit("unknown")))
@@ -132,7 +157,7 @@ def project_features(
     rows = rows.withColumn(
         "language", F.when(F.col("framework") == "unknown", F.col("manifest_language")).otherwise(mapped)
     )
-    auth = {c: F.col("content").rlike(_any(p)) for c, p in catalogue.auth.items()}
+    auth = {c: _contains_any(p) for c, p in catalogue.auth.items()}
     extracted = rows.select(
         "project", "framework", "language", "path",
         _hits_by_language(catalogue.routes, trim=False).alias("routes"),

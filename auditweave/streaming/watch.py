@@ -54,7 +54,8 @@ def debounce_history(changes: DataFrame, quiet_ms: int = 800) -> DataFrame:
     per slot reaches the window that chains slots to runs.
     """
     quiet = quiet_ms * 1000
-    micros = F.unix_micros("ts")
+    kind = changes.schema["ts"].dataType
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     slots = changes.groupBy("project", "path", F.floor(micros / quiet).alias("_slot")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count("*").alias("_n")
     )
@@ -68,8 +69,9 @@ def debounce_history(changes: DataFrame, quiet_ms: int = 800) -> DataFrame:
     )
     return merged.select(
         "project", "path",
-        F.timestamp_micros("_from").alias("first_change"), F.timestamp_micros("_to").alias("last_change"),
-        F.timestamp_micros(F.col("_to") + quiet).alias("fires_at"), "changes",
+        F.timestamp_micros("_from").cast(kind).alias("first_change"),
+        F.timestamp_micros("_to").cast(kind).alias("last_change"),
+        F.timestamp_micros(F.col("_to") + quiet).cast(kind).alias("fires_at"), "changes",
     )
 
 
