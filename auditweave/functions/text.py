@@ -75,6 +75,8 @@ def guards_access(path: Column) -> Column:
 class EstimatedTokens:
     """Token count as a quarter of the characters, rounded up. Stays in the JVM."""
 
+    in_lambdas = True
+
     def of(self, text: Column) -> Column:
         return F.ceil(F.length(text) / 4)
 
@@ -88,6 +90,8 @@ class EncodedTokens:
     ``make_encoder`` runs once per Python worker and returns a function ``str -> sequence``.
     """
 
+    in_lambdas = False
+
     def __init__(self, make_encoder: Callable[[], Callable[[str], list]]):
         @F.pandas_udf(T.LongType())
         def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

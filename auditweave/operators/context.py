@@ -1,7 +1,5 @@
 """Security context per project: framework, authentication, routes, models and roles."""
 
-import functools
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,13 +7,12 @@ from pyspark.sql import functions as F
 
 from auditweave import vocab
 from auditweave.catalogues import DEFAULT_CATALOGUE, DEFAULT_LANGUAGE, Catalogue
+from auditweave.functions import patterns as rx
 from auditweave.functions import text
 from auditweave.plans.joins import lookup_join
 from auditweave.sources.files import admitted
 from auditweave.sources.roots import manifest_languages
 
-# Makes \w, \s and \b cover Unicode and "\n" the only line end.
-REGEX_FLAGS = "(?dU)"
 ROLE_MARGIN = 50
 
 # The layout of the rendered context.
@@ -28,28 +25,6 @@ OVERVIEW_SHOWN = {"routes": 20, "models": 15}
 OVERVIEW_AUTH_CHARS = 200
 
 
-def _any(patterns: Sequence[str]) -> str:
-    return REGEX_FLAGS + "|".join(f"(?:{p})" for p in patterns)
-
-
-def _plain(pattern: str) -> str | None:
-    """The text a pattern stands for, if it has no other meaning than that text."""
-    escaped = re.compile(r"\\(\W)")
-    if re.search(r"[\\.^$*+?{}\[\]|()]", escaped.sub("", pattern)):
-        return None
-    return escaped.sub(r"\1", pattern)
-
-
-def _contains_any(patterns: Sequence[str]) -> Column:
-    """Whether the content has a match. Plain texts are searched as such, which is much cheaper."""
-    plain = [_plain(p) for p in patterns]
-    regexes = [p for p, t in zip(patterns, plain) if t is None]
-    found = [F.contains("content", F.lit(t)) for t in plain if t is not None]
-    if regexes:
-        found.append(F.col("content").rlike(_any(regexes)))
-    return functools.reduce(lambda a, b: a | b, found, F.lit(False))
-
-
 def sample_files(
     files: DataFrame, limit: int = vocab.SAMPLE_FILES, max_bytes: int = vocab.MAX_FILE_BYTES
 ) -> DataFrame:
@@ -73,13 +48,13 @@ def _first_framework(catalogue: Catalogue) -> Column:
     """The first framework in catalogue order with any hit in the file, or null."""
     found = F.lit(None).cast("string")
     for name, patterns in reversed(catalogue.frameworks.items()):
-        found = F.when(_contains_any(patterns), F.lit(name)).otherwise(found)
+        found = F.when(rx.found(F.col("content"), patterns), F.lit(name)).otherwise(found)
     return found
 
 
 def _hits(patterns: Sequence[str], trim: bool) -> Column:
     """Distinct matches of one file, pattern by pattern, in the order of first appearance."""
-    found = [F.regexp_extract_all("content", F.lit(REGEX_FLAGS + p), F.lit(0)) for p in patterns]
+    found = [rx.all_matches(F.col("content"), p) for p in patterns]
     every = F.concat(*found) if found else F.array().cast("array<string>")
     return F.array_distinct(F.transform(every, text.strip) if trim else every)
 
@@ -100,7 +75,8 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
     """
     if not patterns:
         return F.array().cast("array<string>")
-    pattern = _any(patterns)
+    pattern = rx.any_of(patterns)
+    none = F.array().cast("array<string>")
 
     def contexts(bound: Column) -> Column:
         hits, gaps = bound["hits"], bound["gaps"]
@@ -127,13 +103,14 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
 
             return F.transform(p["hits"], one)
 
-        return F.when(F.size(hits) > 0, text.bind(pieces, around)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(hits) > 0, text.bind(pieces, around)).otherwise(none)
 
     cut = F.struct(
         F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("hits"),
         F.split("content", pattern, -1).alias("gaps"),
     )
-    return F.array_distinct(text.bind(cut, contexts))
+    contexts_of_text = F.array_distinct(text.bind(cut, contexts))
+    return F.when(rx.possible(F.col("content"), patterns), contexts_of_text).otherwise(none)
 
 
 def project_features(
@@ -157,7 +134,7 @@ def project_features(
     rows = rows.withColumn(
         "language", F.when(F.col("framework") == "unknown", F.col("manifest_language")).otherwise(mapped)
     )
-    auth = {c: _contains_any(p) for c, p in catalogue.auth.items()}
+    auth = {c: rx.found(F.col("content"), p) for c, p in catalogue.auth.items()}
     extracted = rows.select(
         "project", "framework", "language", "path",
         _hits_by_language(catalogue.routes, trim=False).alias("routes"),

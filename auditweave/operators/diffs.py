@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditweave import vocab
 from auditweave.functions import text
-from auditweave.operators.chunking import chunk_text
+from auditweave.operators.chunking import chunk_array
 
 # The line formats of a unified diff. (?d) makes "\n" the only line end.
 FILE_BORDER = r"(?md)^(?=diff --git )"
@@ -81,28 +81,29 @@ def _start(head: Column, group: int) -> Column:
     return F.regexp_extract(head, HUNK_HEAD, group).try_cast("long")
 
 
-def _side(lines: Column, *marks: str) -> Column:
-    return F.filter(lines, lambda l: F.substring(l, 1, 1).isin(*marks))
-
-
 def _hunk(raw: Column) -> Column:
     """Facts of one hunk: header, line range and its text with added, removed, kept lines in turn."""
 
-    def facts(lines: Column) -> Column:
-        head = lines[0]
-        new_start = _start(head, 3)
-        ordered = F.concat(
-            F.array(head), *[_side(F.slice(lines, 2, F.size(lines)), m) for m in ("+", "-", " ")]
+    def sides(lines: Column) -> Column:
+        def starting(mark: str, name: str) -> Column:
+            return F.filter(lines, lambda l, i: (i > 0) & l.startswith(mark)).alias(name)
+
+        return F.struct(
+            lines[0].alias("head"), starting("+", "added"), starting("-", "removed"), starting(" ", "kept")
         )
-        kept = F.size(_side(F.slice(lines, 2, F.size(lines)), "+", " "))
+
+    def facts(side: Column) -> Column:
+        head, added, removed, kept = (side[n] for n in ("head", "added", "removed", "kept"))
+        new_start = _start(head, 3)
+        ordered = F.concat(F.array(head), added, removed, kept)
         return F.struct(
             head.alias("header"),
             new_start.alias("line_start"),
-            (new_start + kept - 1).alias("line_end"),
+            (new_start + F.size(added) + F.size(kept) - 1).alias("line_end"),
             F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("hunk_text"),
         )
 
-    return text.bind(F.split(raw, "\n", -1), facts)
+    return text.bind(text.bind(F.split(raw, "\n", -1), sides), facts)
 
 
 def diff_hunks(files: DataFrame) -> DataFrame:
@@ -144,14 +145,14 @@ def diff_lines(files: DataFrame) -> DataFrame:
     return rows.select(*keys, "hunk_seq", "_l.*")
 
 
-def _pack(bound: Column, max_tokens: int) -> Column:
+def _pack(hunks: Column, tokens: Column, max_tokens: int) -> Column:
     """Chunks of consecutive hunks. Only chunk starts are accumulated, never the hunks."""
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0)).alias("starts"), F.lit(0).alias("i"))
 
-    def add(acc: Column, tokens: Column) -> Column:
-        full = (acc["i"] > 0) & (acc["sum"] + tokens > max_tokens)
+    def add(acc: Column, size: Column) -> Column:
+        full = (acc["i"] > 0) & (acc["sum"] + size > max_tokens)
         return F.struct(
-            F.when(full, tokens).otherwise(acc["sum"] + tokens).alias("sum"),
+            F.when(full, size).otherwise(acc["sum"] + size).alias("sum"),
             F.when(full, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
             (acc["i"] + 1).alias("i"),
         )
@@ -172,9 +173,8 @@ def _pack(bound: Column, max_tokens: int) -> Column:
 
         return F.transform(starts, chunk)
 
-    tokens = F.transform(bound["tokens"], lambda t: t.cast("long"))
     starts = F.aggregate(tokens, start, add, lambda acc: acc["starts"])
-    return text.bind(F.struct(bound["hunks"].alias("hunks"), starts.alias("starts")), chunks)
+    return text.bind(F.struct(hunks.alias("hunks"), starts.alias("starts")), chunks)
 
 
 def chunk_diffs(
@@ -185,16 +185,34 @@ def chunk_diffs(
 ) -> DataFrame:
     """Chunks of a file's diff: whole hunks in order, and plain text chunks where there is no hunk."""
     keys = ("diff_id", "file_seq", "file_path")
-    hunks = F.transform(_hunk_texts(F.col("diff_text")), _hunk)
-    rows = files.select(*keys, "diff_text", hunks.alias("_hunks"))
-    texts = F.transform("_hunks", lambda h: h["hunk_text"])
-    packed = rows.filter(F.size("_hunks") > 0).select(*keys, "_hunks", counter.of_each(texts).alias("_tokens"))
-    bound = F.struct(F.col("_hunks").alias("hunks"), F.col("_tokens").alias("tokens"))
-    packed = packed.select(*keys, text.bind(bound, lambda b: _pack(b, max_tokens)).alias("_chunks"))
-    packed = packed.select(*keys, F.size("_chunks").alias("total_chunks"), F.explode("_chunks").alias("_c"))
-    packed = packed.select(
+    raw, diff = _hunk_texts(F.col("diff_text")), F.col("diff_text")
+
+    def texts(hunks: Column) -> Column:
+        return F.transform(hunks, lambda h: h["hunk_text"])
+
+    if counter.in_lambdas:
+        rows = files
+
+        def packed(hunks: Column) -> Column:
+            sizes = F.transform(counter.of_each(texts(hunks)), lambda t: t.cast("long"))
+            return _pack(hunks, sizes, max_tokens)
+
+        whole = counter.of(diff)
+        hunks = F.transform(raw, _hunk)
+    else:
+        parsed = files.select(*keys, "diff_text", F.transform(raw, _hunk).alias("_hunks"))
+        rows = parsed.withColumn("_sizes", counter.of_each(texts(F.col("_hunks")))).withColumn("_whole", counter.of(diff))
+
+        def packed(hunks: Column) -> Column:
+            return _pack(hunks, F.col("_sizes"), max_tokens)
+
+        whole, hunks = F.col("_whole"), F.col("_hunks")
+
+    bare = chunk_array(diff, whole, max_tokens, overlap_tokens)
+    chunks = text.bind(hunks, lambda h: F.when(F.size(h) > 0, packed(h)).otherwise(bare))
+    rows = rows.select(*keys, chunks.alias("_chunks"))
+    rows = rows.select(*keys, F.size("_chunks").alias("total_chunks"), F.explode("_chunks").alias("_c"))
+    return rows.select(
         *keys, "_c.chunk_index", "total_chunks", "_c.line_start", "_c.line_end", "_c.content",
         F.lit(True).alias("is_diff"),
     )
-    bare = files.filter(F.size(_hunk_texts(F.col("diff_text"))) == 0).withColumnRenamed("diff_text", "content")
-    return packed.unionByName(chunk_text(bare, max_tokens, overlap_tokens, counter, keys, is_diff=True))
