@@ -192,7 +192,7 @@ def build_snapshot(
 def empty_snapshot(projects: DataFrame) -> DataFrame:
     """The context of projects about which nothing is known."""
     none = F.array().cast("array<string>")
-    return projects.select(
+    return projects.select("project").distinct().select(
         "project", F.lit("unknown").alias("framework"), F.lit("unknown").alias("language"),
         F.lit(NO_AUTH).alias("auth_summary"),
         *[none.alias(c) for c in ("routes", "models", "roles", "middleware")],

@@ -304,7 +304,7 @@ def snapshot_refresh(spark, sf_dir):
     recent = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(
         F.col("o_orderdate") >= F.lit("1999-01-01 00:00:00").cast("timestamp")
     ).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("project"))
-    stored = ops.empty_snapshot(files.select("project").distinct())
+    stored = ops.empty_snapshot(files)
     rows = ops.refresh_snapshot(stored, files, recent)
     return rows.select("project", "framework", "language", joined("routes"))
 
@@ -332,7 +332,7 @@ PROMPT_VIEWS = ("src_files", *CHUNK_VIEWS, "src_contexts")
 
 def src_prompts(spark, sf_dir, vuln_classes=None):
     files = src_files(spark, sf_dir)
-    contexts = ops.rendered_contexts(ops.empty_snapshot(files.select("project").distinct()))
+    contexts = ops.rendered_contexts(ops.empty_snapshot(files))
     return build_prompts(chunk_text(files, MAX_TOKENS, OVERLAP), contexts, vuln_classes)
 
 

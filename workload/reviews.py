@@ -53,7 +53,7 @@ STUB = rv.per_prompt(_stub_client, "system")
 )
 def batch_review(spark, sf_dir):
     files = src_files(spark, sf_dir)
-    contexts = rendered_contexts(ctx.empty_snapshot(files.select("project").distinct()))
+    contexts = rendered_contexts(ctx.empty_snapshot(files))
     prompts = build_prompts(chunk_text(files, MAX_TOKENS, OVERLAP), contexts, ["NONE"])
     return whole(rv.review(prompts.withColumn("attempt", F.lit(1)), STUB, tasks=8))
 
@@ -222,7 +222,7 @@ SQL["diff_best"] = _BEST.format("diff_found")
 def diff_review(spark, sf_dir):
     """Diffs to files, packed chunks, prompts, replayed answers and findings without a confidence filter."""
     changed = diffs(spark, sf_dir)
-    snapshot = ctx.empty_snapshot(changed.select("project").distinct())
+    snapshot = ctx.empty_snapshot(changed)
     prompts = diff_prompts(changed, snapshot, max_tokens=DIFF_TOKENS)
     found = findings_of(rv.replay(prompts, _answered(prompts)), "LOW", confidence=None)
     return found.select("project", "file", "vuln_class", "severity", "confidence", "line_start", "line_end", "finding_id")
