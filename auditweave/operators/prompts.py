@@ -76,10 +76,15 @@ def build_prompts(
     vuln_classes: Sequence[str] | str | None = None,
     extra_context: Column | None = None,
     hints: Mapping[str, str] = HINTS,
+    size_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Chunks with ``prompt`` and ``prompt_id``. A chunk without a stored context gets none."""
+    """Chunks with ``prompt`` and ``prompt_id``. A chunk without a stored context gets none.
+
+    ``size_of`` is a cheap table with a row per context, for the size check of the join.
+    """
     rows = lookup_join(
-        chunks, contexts, "project", "left", spread=["file_path", "chunk_index"], max_rows=MAX_BROADCAST_CONTEXTS
+        chunks, contexts, "project", "left", spread=["file_path", "chunk_index"],
+        size_of=size_of, max_rows=MAX_BROADCAST_CONTEXTS,
     )
     prompts = rows.withColumn("prompt", review_prompt(vuln_classes, extra_context, hints))
     return prompts.withColumn("prompt_id", F.sha2("prompt", 256)).drop("context", "content")

@@ -1,5 +1,6 @@
 """Joins of a large table with a per-key table whose size is checked first."""
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +27,13 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``big`` with ``small``, which has one row per key and rows of bounded width.
 
-    If ``size_of`` (by default ``small``) has at most ``max_rows`` rows, ``small`` is broadcast.
+    If ``size_of`` (by default the keys of ``small``) has at most ``max_rows`` rows, ``small`` is
+    broadcast. Pass a cheap table with as many rows where ``small`` is expensive to compute.
     Otherwise both sides are shuffled, and every key is split into ``salts`` parts by a hash of the
     ``spread`` columns, so that one key with a third of all rows still lands in many tasks.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if at_most(size_of if size_of is not None else small, max_rows):
+    if at_most(size_of if size_of is not None else small.select(*keys), max_rows):
         return big.join(F.broadcast(small), keys, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
@@ -45,3 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there: no lineage, no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

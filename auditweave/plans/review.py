@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave import vocab
-from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most
+from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, stored
 
 Reviewer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CHUNK_KEYS = ("project", "file_path", "chunk_index")
@@ -46,29 +46,41 @@ def review(prompts: DataFrame, reviewer: Reviewer, tasks: int | None = None) ->
     return rows.mapInPandas(reviewer, vocab.RESPONSES)
 
 
-def pending(
-    prompts: DataFrame,
-    responses: DataFrame,
-    max_attempts: int = vocab.MAX_ATTEMPTS,
-    keys: Sequence[str] = CHUNK_KEYS,
-) -> DataFrame:
-    """Prompts without an answer and with attempts left; equal prompts are asked once.
+def asked_prompts(prompts: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
+    """One chunk per distinct prompt: ids and chunk keys without the texts."""
+    first = prompts.groupBy("prompt_id").agg(F.min(F.struct(*keys)).alias("_chunk"))
+    return first.select("prompt_id", *[F.col(f"_chunk.{k}").alias(k) for k in keys])
 
-    What is open is decided on ids alone. Each open id then names one chunk by its ``keys``, so
-    fetching the texts is a join on unique keys: broadcast while few are open, else an evenly
-    spread shuffle.
-    """
+
+def open_prompts(asked: DataFrame, responses: DataFrame, max_attempts: int = vocab.MAX_ATTEMPTS) -> DataFrame:
+    """Rows of ``asked`` without an answer and with attempts left, and the number of the next attempt."""
     state = responses.groupBy("prompt_id").agg(
         F.max("attempt").alias("_tried"), F.max(F.col("response").isNotNull()).alias("_answered")
     )
-    asked = prompts.groupBy("prompt_id").agg(F.min(F.struct(*keys)).alias("_chunk"))
     tried = F.coalesce("_tried", F.lit(0))
     unanswered = ~F.coalesce("_answered", F.lit(False)) & (tried < max_attempts)
-    open_ = asked.join(state, "prompt_id", "left").filter(unanswered)
-    open_ = open_.select(*[F.col(f"_chunk.{k}").alias(k) for k in keys], (tried + 1).alias("attempt"))
-    if at_most(open_, MAX_BROADCAST_ROWS):
-        open_ = F.broadcast(open_)
-    return prompts.join(open_, list(keys))
+    rows = asked.join(state, "prompt_id", "left").filter(unanswered)
+    return rows.withColumn("attempt", tried + 1).drop("prompt_id", "_tried", "_answered")
+
+
+def with_texts(prompts: DataFrame, open_: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
+    """Fetch the prompt texts of open chunks.
+
+    The chunk keys are unique, so this is a broadcast while few are open and an evenly spread
+    shuffle otherwise.
+    """
+    chosen = F.broadcast(open_) if at_most(open_, MAX_BROADCAST_ROWS) else open_
+    return prompts.join(chosen, list(keys))
+
+
+def pending(
+    prompts: DataFrame,
+    responses: DataFrame,
+    max_attempts: int = vocab.MAX_ATTEMPTS,
+    keys: Sequence[str] = CHUNK_KEYS,
+) -> DataFrame:
+    """Prompts without an answer and with attempts left; equal prompts are asked once."""
+    return with_texts(prompts, open_prompts(asked_prompts(prompts, keys), responses, max_attempts), keys)
 
 
 def review_to_table(
@@ -81,15 +93,17 @@ def review_to_table(
 ) -> DataFrame:
     """Ask all pending prompts and append the answers to the table at ``path``.
 
-    Each round is one committed write, so a lost executor repeats only its open tasks and a
-    restarted job goes on with what is missing. Rounds end when nothing is left to ask.
+    The ids are stored once, so the rounds find open prompts without building texts. Each round
+    is one committed write: a lost executor repeats only its open tasks, and a restarted job goes
+    on with what is missing. Rounds end when nothing is left to ask.
     """
     spark = prompts.sparkSession
+    asked = stored(asked_prompts(prompts, keys), "asked-prompts")
     for _ in range(max_attempts):
-        todo = pending(prompts, read_responses(spark, path), max_attempts, keys)
-        if todo.isEmpty():
+        open_ = open_prompts(asked, read_responses(spark, path), max_attempts)
+        if open_.isEmpty():
             break
-        review(todo, reviewer, tasks).write.mode("append").parquet(path)
+        review(with_texts(prompts, open_, keys), reviewer, tasks).write.mode("append").parquet(path)
     return read_responses(spark, path)
 
 

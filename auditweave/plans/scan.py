@@ -29,7 +29,8 @@ def scan_prompts(
     """Prompts of all admitted, long enough files of all projects."""
     todo = reviewable(admitted(files), max_lines, min_lines).filter("long_enough")
     chunks = chunk_text(todo, max_tokens, overlap_tokens, counter)
-    return build_prompts(chunks, rendered_contexts(snapshot), vuln_classes)
+    projects = files.select("project").distinct()
+    return build_prompts(chunks, rendered_contexts(snapshot), vuln_classes, size_of=projects)
 
 
 def diff_prompts(
@@ -48,7 +49,8 @@ def diff_prompts(
     keyed = diffs.withColumn("diff_id", F.struct("project", "diff_id"))
     chunks = chunk_diffs(split_files(keyed), max_tokens, overlap_tokens, counter)
     chunks = chunks.withColumn("project", F.col("diff_id.project")).withColumn("diff_id", F.col("diff_id.diff_id"))
-    return build_prompts(chunks, rendered_contexts(snapshot), vuln_classes, extra_context)
+    projects = diffs.select("project").distinct()
+    return build_prompts(chunks, rendered_contexts(snapshot), vuln_classes, extra_context, size_of=projects)
 
 
 def findings_of(

@@ -128,6 +128,8 @@ def watch(
         finally:
             fired.unpersist()
 
+    # Merge the changes of a path within each input partition, so that a hot path sends one row from each.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     runs = debounce(admitted_changes(changes), quiet, lateness)
     return (
         runs.writeStream.outputMode("append")

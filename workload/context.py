@@ -381,7 +381,8 @@ SQL["code_chunks"] = "SELECT project, path AS file_path, 0 AS chunk_index, conte
 def context_prompts(spark, sf_dir):
     files = code_files(spark, sf_dir)
     contexts = ops.rendered_contexts(ops.build_snapshot(files), CONTEXT_TOKENS)
-    return whole(build_prompts(chunk_text(files), contexts).select("project", "file_path", "chunk_index", "prompt_id"))
+    prompts = build_prompts(chunk_text(files), contexts, size_of=files.select("project").distinct())
+    return whole(prompts.select("project", "file_path", "chunk_index", "prompt_id"))
 
 
 _FINDING_JSON = "CAST(to_json({'id': finding_id, " + ", ".join(

@@ -41,7 +41,7 @@ STUB = rv.per_prompt(_stub_client, "system")
 @query(
     "batch_review",
     with_views(
-        f"""SELECT sha256(prompt) AS prompt_id, 1 AS attempt,
+        f"""SELECT sha256(prompt) AS prompt_id, CAST(1 AS bigint) AS attempt,
               CASE WHEN lines % 2 = 0 THEN '[{{"lines": ' || lines || '}}]' END AS response,
               CASE WHEN lines % 2 = 1 THEN 'no answer for ' || lines || ' lines' END AS error
             FROM (SELECT p.prompt, CAST(c.line_end - c.line_start + 1 AS bigint) AS lines
@@ -101,7 +101,7 @@ def pending_prompts(spark, sf_dir):
 @query(
     "review_errors",
     with_views(
-        """SELECT project, file_path, chunk_index, prompt_id, 3 AS attempts, 'timeout' AS error
+        """SELECT project, file_path, chunk_index, prompt_id, CAST(3 AS bigint) AS attempts, 'timeout' AS error
            FROM prompt_rows p JOIN prompt_ids i USING (prompt_id) WHERE NOT i.ok AND first % 4 = 3""",
         *STORED_VIEWS,
     ),
