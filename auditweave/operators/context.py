@@ -34,6 +34,8 @@ def sample_files(
     ``limit`` paths per project before the shuffle, and one last path per project then selects
     the contents, so a huge project neither fills a task nor shuffles its texts.
     """
+    if not 0 < limit <= vocab.MAX_SAMPLE_FILES:
+        raise ValueError(f"a sample has between 1 and {vocab.MAX_SAMPLE_FILES} files, as its texts meet in one task")
     chosen = admitted(files, max_bytes)
     by_path = Window.partitionBy("project").orderBy("path")
     ranked = chosen.select("project", "path", F.row_number().over(by_path).alias("_rank"))

@@ -52,9 +52,12 @@ def split_files(diffs: DataFrame) -> DataFrame:
     A given ``file_path`` is kept for diffs of one file; otherwise the header names the path.
     """
     given = F.col("file_path") if "file_path" in diffs.columns else F.lit(None).cast("string")
-    sections = F.split("diff_text", FILE_BORDER, -1)
-    git = F.filter(sections, lambda s: s.startswith("diff --git "))
-    files = F.when(F.size(git) > 0, git).otherwise(sections)
+
+    def file_sections(sections: Column) -> Column:
+        git = F.filter(sections, lambda s: s.startswith("diff --git "))
+        return text.bind(git, lambda g: F.when(F.size(g) > 0, g).otherwise(sections))
+
+    files = text.bind(F.split("diff_text", FILE_BORDER, -1), file_sections)
     rows = diffs.select("diff_id", given.alias("_given"), files.alias("_files"))
     rows = rows.select(
         "diff_id", F.when(F.size("_files") == 1, F.nullif("_given", F.lit(""))).alias("_given"),

@@ -89,9 +89,17 @@ def scan_summary(findings: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
-def files_scanned(files: DataFrame) -> DataFrame:
-    """Admitted, readable files per project; short files count."""
-    return files.groupBy("project").agg(F.count("content").alias("files_scanned"))
+def files_scanned(files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Admitted files per project less those with a read error; short files count.
+
+    Counts paths, so the contents are not read for it.
+    """
+    counted = files.groupBy("project").agg(F.count("*").alias("files_scanned"))
+    if errors is None:
+        return counted
+    failed = errors.groupBy("project").agg(F.count("*").alias("_failed"))
+    left = F.col("files_scanned") - F.coalesce("_failed", F.lit(0))
+    return counted.join(failed, "project", "left").select("project", left.alias("files_scanned"))
 
 
 def files_with_findings(findings: DataFrame) -> DataFrame:

@@ -42,11 +42,13 @@ def response_items(responses: DataFrame) -> DataFrame:
         F.try_parse_json(json_part(F.col("response"))).alias("_json"),
     )
     listed = parsed.withColumn("_items", F.try_variant_get("_json", "$", "array<variant>"))
-    rows = listed.filter(F.col("_items").isNull() | (F.size("_items") > 0)).select(
+    rows = listed.select(
         "project", F.col("file_path").alias("source_path"), "chunk_index", "_chunk_start",
         F.when(F.col("_json").isNull(), F.lit("not_json")).when(F.col("_items").isNull(), F.lit("not_array")).alias("_broken"),
         F.posexplode_outer("_items").alias("item_index", "_item"),
     )
+    # Empty arrays leave no trace. Said after the explosion, lest the answer be parsed for it again.
+    rows = rows.filter(F.col("item_index").isNotNull() | F.col("_broken").isNotNull())
     present = F.lit(True)
     for key in ("vuln_class", "severity", "confidence", "line_start", "line_end", *REQUIRED_TEXTS):
         present = present & _get(key, "variant").isNotNull()

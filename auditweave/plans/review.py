@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave import vocab
@@ -117,6 +117,15 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], vocab.RESPONSES)
 
 
+def observed(responses: DataFrame, progress: Observation) -> DataFrame:
+    """Count answers and failures while the rows pass, for example while they are written."""
+    return responses.observe(
+        progress,
+        F.count_if(F.col("response").isNotNull()).alias("answered"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    )
+
+
 def answers(responses: DataFrame) -> DataFrame:
     """The last given answer per prompt."""
     given = responses.filter(F.col("response").isNotNull())

@@ -119,6 +119,12 @@ def test_sample_takes_first_paths_in_both_joins(spark, monkeypatch, rows):
     assert [r.path for r in got if r.project == "small"] == ["a.py"]
 
 
+def test_sample_size_is_bounded(spark):
+    for limit in (0, 1001):
+        with pytest.raises(ValueError):
+            ctx.sample_files(project(spark, ("p", "a.py", "x")), limit)
+
+
 def test_sample_plan_limits_before_the_shuffle_and_prunes_content(spark, tmp_path):
     project(spark, ("p", "a.py", "x")).write.parquet(str(tmp_path / "t"))
     plan = ctx.sample_files(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()

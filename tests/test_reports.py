@@ -18,6 +18,13 @@ def scanned(spark):
     return spark.createDataFrame([("p", 4), ("q", 1), ("quiet", 2)], "project string, files_scanned long")
 
 
+def test_files_scanned_counts_paths_less_errors(spark):
+    files = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "c")], "project string, path string")
+    errors = spark.createDataFrame([("p", "b", "e")], "project string, path string, error string")
+    assert {tuple(r) for r in ops.files_scanned(files).collect()} == {("p", 2), ("q", 1)}
+    assert {tuple(r) for r in ops.files_scanned(files, errors).collect()} == {("p", 1), ("q", 1)}
+
+
 def documents(df):
     return {(r.project, r.page): json.loads(r.document) for r in df.collect()}
 

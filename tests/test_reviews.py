@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from auditweave import catalogues, vocab
@@ -202,6 +203,9 @@ def test_review_retries_resumes_and_replays(spark, tmp_path):
     rows = responses.collect()
     assert sorted((r.attempt, r.response is None) for r in rows) == [(1, False), (1, True), (2, True), (3, True)]
     assert rv.pending(twice, responses).count() == 0
+    progress = Observation("answers")
+    rv.observed(responses, progress).write.format("noop").mode("overwrite").save()
+    assert progress.get == {"answered": 1, "failed": 3}
     rv.review_to_table(twice, rv.per_prompt(failing_client, SYSTEM_PROMPT), path)
     assert rv.read_responses(spark, path).count() == 4
     errors = rv.review_errors(twice, responses).collect()

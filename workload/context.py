@@ -169,7 +169,9 @@ WEB = Catalogue(
     models={"python": ["<h1>[^<]*</h1>"]},
     roles=['class="ad"', r"track\(", "</nav>"],
 )
-_WEB_ROLES = _positions("web_roles", "web_files", WEB.roles)
+SQL["sampled_web"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) AS file_ord FROM web_files
+  WHERE size_bytes <= 500000) WHERE file_ord <= 100"""
+_WEB_ROLES = _positions("web_roles", "sampled_web", WEB.roles)
 SQL.update(_WEB_ROLES)
 
 
@@ -179,7 +181,7 @@ def _web_hits(regex: str) -> str:
         SELECT project, hit, min(seq) AS seq FROM (
           SELECT project, hit, row_number() OVER (PARTITION BY project ORDER BY path, m) AS seq FROM (
             SELECT project, path, unnest(h) AS hit, unnest(range(len(h))) AS m FROM (
-              SELECT project, path, regexp_extract_all(content, {sql_text(regex)}) AS h FROM web_files)))
+              SELECT project, path, regexp_extract_all(content, {sql_text(regex)}) AS h FROM sampled_web)))
         GROUP BY project, hit) GROUP BY project"""
 
 
@@ -192,12 +194,11 @@ SQL["web_models"] = _web_hits(WEB.models["python"][0])
     with_views(
         """SELECT project, 'static' AS framework, 'html' AS language, md5(r.found) AS routes, md5(m.found) AS models, md5(w.found) AS roles
            FROM web_routes r JOIN web_models m USING (project) JOIN web_roles w USING (project)""",
-        "web_files", "web_routes", "web_models", *_WEB_ROLES,
+        "web_files", "sampled_web", "web_routes", "web_models", *_WEB_ROLES,
     ),
 )
 def web_contexts(spark, sf_dir):
-    """Every page of every host: no host may exceed the sample size here."""
-    rows = ops.build_snapshot(web_files(spark, sf_dir), WEB, limit=1_000_000)
+    rows = ops.build_snapshot(web_files(spark, sf_dir), WEB)
     return rows.select("project", "framework", "language", *[F.md5(joined(c)).alias(c) for c in ("routes", "models", "roles")])
 
 
