@@ -19,15 +19,19 @@ def json_part(response: Column) -> Column:
 
     def sliced(body: Column) -> Column:
         first = F.instr(body, "[")
-        last = F.length(body) - F.instr(F.reverse(body), F.lit("]")) + 1
-        both = (first > 0) & F.contains(body, F.lit("]")) & (last > first)
-        return F.when(both, F.substring(body, first, last - first + 1)).otherwise(body)
+        last = F.length(body) - F.length(F.substring_index(body, "]", -1))
+        found = (first > 0) & (last > first)
+        return F.when(found, F.substring(body, first, last - first + 1)).otherwise(body)
 
     return text.bind(text.bind(text.strip(response), unfenced), sliced)
 
 
-def _get(path: str, kind: str) -> Column:
-    return F.try_variant_get("_item", f"$.{path}", kind)
+_KEYS = ("vuln_class", "severity", "confidence", "line_start", "line_end", *REQUIRED_TEXTS)
+_FIELDS = "struct<" + ", ".join(f"{k}: variant" for k in (*_KEYS, "file")) + ">"
+
+
+def _get(key: str, kind: str) -> Column:
+    return F.try_variant_get(f"_fields.{key}", "$", kind)
 
 
 def response_items(responses: DataFrame) -> DataFrame:
@@ -41,25 +45,29 @@ def response_items(responses: DataFrame) -> DataFrame:
         *[F.col(k) if k != "line_start" else F.col(k).alias("_chunk_start") for k in keys],
         F.try_parse_json(json_part(F.col("response"))).alias("_json"),
     )
-    listed = parsed.withColumn("_items", F.try_variant_get("_json", "$", "array<variant>"))
+    # One pass per item: an absent key gives null, a JSON null does not; no object gives no fields.
+    items = F.transform(
+        F.try_variant_get("_json", "$", "array<variant>"), lambda item: F.try_variant_get(item, "$", _FIELDS)
+    )
+    listed = parsed.withColumn("_items", items)
     rows = listed.select(
         "project", F.col("file_path").alias("source_path"), "chunk_index", "_chunk_start",
         F.when(F.col("_json").isNull(), F.lit("not_json")).when(F.col("_items").isNull(), F.lit("not_array")).alias("_broken"),
-        F.posexplode_outer("_items").alias("item_index", "_item"),
+        F.posexplode_outer("_items").alias("item_index", "_fields"),
     )
     # Empty arrays leave no trace. Said after the explosion, lest the answer be parsed for it again.
     rows = rows.filter(F.col("item_index").isNotNull() | F.col("_broken").isNotNull())
     present = F.lit(True)
-    for key in ("vuln_class", "severity", "confidence", "line_start", "line_end", *REQUIRED_TEXTS):
-        present = present & _get(key, "variant").isNotNull()
+    for key in _KEYS:
+        present = present & F.col(f"_fields.{key}").isNotNull()
     # A missing or empty file (also 0, false, [] and {}) means the file of the chunk.
     named = _get("file", "string")
     file = F.when(named.isNull() | named.isin("", "0", "0.0", "false", "[]", "{}"), F.col("source_path")).otherwise(named)
     shift = F.when(F.col("_chunk_start") > 1, F.col("_chunk_start") - 1).otherwise(F.lit(0)).cast("long")
     fields = rows.select(
         "project", "source_path", "chunk_index", "item_index", "_broken",
-        F.schema_of_variant("_item").startswith("OBJECT").alias("_object"),
-        present.alias("_present"),
+        F.col("_fields").isNotNull().alias("_object"),
+        F.coalesce(present, F.lit(False)).alias("_present"),
         *[_get(k, "string").alias(k) for k in ("vuln_class", "severity", "confidence")],
         file.alias("file"),
         *[(_get(k, "int").cast("long") + shift).alias(k) for k in ("line_start", "line_end")],
@@ -71,7 +79,7 @@ def response_items(responses: DataFrame) -> DataFrame:
 
     reason = (
         F.when(F.col("_broken").isNotNull(), F.col("_broken"))
-        .when(~F.coalesce(F.col("_object"), F.lit(False)), F.lit("not_object"))
+        .when(~F.col("_object"), F.lit("not_object"))
         .when(~F.col("_present"), F.lit("missing_key"))
         .when(outside("vuln_class", vocab.ACCEPTED_CLASSES), F.lit("bad_class"))
         .when(outside("severity", vocab.SEVERITY_RANKS), F.lit("bad_severity"))
