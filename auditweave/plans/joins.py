@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
-SALTS = 32
+SALTS = 8
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -30,7 +30,8 @@ def lookup_join(
     If ``size_of`` (by default the keys of ``small``) has at most ``max_rows`` rows, ``small`` is
     broadcast. Pass a cheap table with as many rows where ``small`` is expensive to compute.
     Otherwise both sides are shuffled, and every key is split into ``salts`` parts by a hash of the
-    ``spread`` columns, so that one key with a third of all rows still lands in many tasks.
+    ``spread`` columns, so that one key with a third of all rows still lands in several tasks;
+    adaptive execution splits a part that is still too large.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if at_most(size_of if size_of is not None else small.select(*keys), max_rows):
