@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as contract
+import workload
 from tests.oracle import compare, database
 
 SMALL = "/root/testdata/sf0.001"
@@ -11,11 +12,11 @@ def con():
     return database(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query_equals_sql(spark, con, name):
-    sql = contract.oracle_sql().get(name)
+    sql = workload.ORACLES.get(name)
     assert sql, "every query has SQL"
-    difference = compare(spark, con, SMALL, contract.queries()[name], sql)
+    difference = compare(spark, con, SMALL, workload.QUERIES[name], sql)
     assert difference in (None, "no rows"), difference
 
 
