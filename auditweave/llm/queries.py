@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import mixing, packing, simhash
+from auditweave.llm import language, mixing, packing, simhash
+from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,10 @@ def op7_simhash(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language")
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    model = language.fit(docs.where("NOT held_out"))
+    return language.identified(docs.select("doc_id", "held_out", "text"), model).drop("text")
