@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import language, mixing, packing, simhash
+import corpus_pipeline
+from auditweave.llm import language, mixing, packing, repeats, simhash
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,13 @@ def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = language.fit(docs.where("NOT held_out"))
     return language.identified(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query("op4_repeats")
+def op4_repeats(spark, sf_dir):
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -13,5 +13,5 @@ def documents(spark, rows, extra=()):
 
 
 def prose(seed, words, alphabet="abcdefgh"):
-    rng = random.Random(seed)
+    rng = random.Random(str(seed))
     return " ".join("".join(rng.choices(alphabet, k=rng.randint(2, 7))) for _ in range(words))
