@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import language, mixing, packing, repeats, simhash
+from auditweave.llm import language, mixing, packing, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,13 @@ SELECT doc_id, size, source_size, target,
 FROM c"""
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    model = toxicity.fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return toxicity.scored(docs, model).drop("text")
+
+
 @query("op3_mixing", MIXING_SQL)
 def op3_mixing(spark, sf_dir):
     """Words that the mix takes of every document, in the order in which training first reads it."""
