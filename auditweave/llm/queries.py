@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import language, mixing, packing, repeats, simhash, toxicity
+from auditweave.llm import edits, language, mixing, packing, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scored(docs, model).drop("text")
 
 
+@query("op2_edits")
+def op2_edits(spark, sf_dir):
+    return edits.edit_report(table(spark, sf_dir, "documents"))
+
+
 @query("op3_mixing", MIXING_SQL)
 def op3_mixing(spark, sf_dir):
     """Words that the mix takes of every document, in the order in which training first reads it."""

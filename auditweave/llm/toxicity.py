@@ -146,7 +146,7 @@ class Lexicon:
             return "break", 0.0
         if token in QUOTES:
             return "quote", 0.0
-        weight = max(self.words.get(token, 0.0), *(self.prefixes.get(token[:n], 0.0) for n in PREFIXES))
+        weight = max(self.words.get(token, 0.0), *(self.prefixes.get(token[:n], 0.0) for n in PREFIXES if len(token) > n), 0.0)
         kind, given = self.given.get(token, ("other", 0.0))
         if weight > 0 and kind in ("other", "insult"):
             return "insult", weight
@@ -204,9 +204,9 @@ class Scorer:
 
 
 def _parts_of(text: str) -> set[str]:
-    """Words ("w...") and beginnings of words ("p...") of a text."""
+    """Words ("w...") and beginnings of longer words ("p...") of a text."""
     words = set(TOKEN.findall(text.lower()))
-    return {"w" + w for w in words} | {"p" + w[:n] for w in words for n in PREFIXES if len(w) >= n}
+    return {"w" + w for w in words} | {"p" + w[:n] for w in words for n in PREFIXES if len(w) > n}
 
 
 def _counts(texts: DataFrame, among: frozenset | None = None) -> DataFrame:
