@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import edits, language, mixing, packing, repeats, simhash, toxicity
+from auditweave.llm import edits, language, mixing, neighbours, packing, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.range_sorted(rows, F.col("first_position"))
 
 
+@query("op5_neighbours")
+def op5_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
