@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import edits, language, mixing, neighbours, packing, repeats, simhash, toxicity
+from auditweave.llm import chat, edits, language, mixing, neighbours, packing, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,26 @@ def op5_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+PERSPECTIVES_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+  c AS (SELECT DISTINCT conv_id, speaker AS assistant FROM t WHERE speaker <> 'system'),
+  p AS (SELECT t.*, c.assistant, CASE WHEN speaker = assistant THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+      ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+    FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
+  r AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece,
+    row_number() OVER w - 1 AS place,
+    CAST(coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start
+    FROM p WINDOW w AS (PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, speaker, text))
+SELECT conv_id, assistant, place, turn, speaker, piece, start, length(piece) AS length, start + length(head) AS mask_start,
+  CAST(CASE WHEN speaker = assistant THEN length(text) + 8 ELSE 0 END AS bigint) AS mask_length FROM r"""
+
+
+@query("op6_perspectives", PERSPECTIVES_SQL)
+def op6_perspectives(spark, sf_dir):
+    """Every conversation from each participant's perspective, a row per turn."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
