@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import chat, edits, language, mixing, neighbours, packing, repeats, simhash, toxicity
+from auditweave.llm import chat, edits, language, mixing, neighbours, packing, quality, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,15 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Quality of every document; its source is the host, and the language the path within it."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
+    return quality.judged(docs, model, F.col("source"), F.col("lang"))
+
+
 @query("op9_language")
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
