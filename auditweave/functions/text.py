@@ -35,9 +35,9 @@ def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
-def cap_lines(text: Column, limit: int = vocab.MAX_FILE_LINES) -> Column:
-    """The first ``limit`` lines; shorter texts pass unchanged."""
-    return F.substring_index(text, "\n", limit)
+def cap_lines(text: Column, limit: int | None = vocab.MAX_FILE_LINES) -> Column:
+    """The first ``limit`` lines (None: all); shorter texts pass unchanged."""
+    return text if limit is None else F.substring_index(text, "\n", limit)
 
 
 def decode_source(raw: Column) -> Column:

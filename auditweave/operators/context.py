@@ -26,17 +26,19 @@ OVERVIEW_AUTH_CHARS = 200
 
 
 def sample_files(
-    files: DataFrame, limit: int = vocab.SAMPLE_FILES, max_bytes: int = vocab.MAX_FILE_BYTES
+    files: DataFrame, limit: int | None = vocab.SAMPLE_FILES, max_bytes: int | None = vocab.MAX_FILE_BYTES
 ) -> DataFrame:
     """The first ``limit`` admitted files of every project in path order; ``path`` is unique in it.
 
-    Paths are ranked without their contents. The rank filter cuts every input partition to
+    Without a ``limit`` these are all admitted files. Otherwise paths are ranked without their contents. The rank filter cuts every input partition to
     ``limit`` paths per project before the shuffle, and one last path per project then selects
     the contents, so a huge project neither fills a task nor shuffles its texts.
     """
-    if not 0 < limit <= vocab.MAX_SAMPLE_FILES:
-        raise ValueError(f"a sample has between 1 and {vocab.MAX_SAMPLE_FILES} files, as its texts meet in one task")
     chosen = admitted(files, max_bytes)
+    if limit is None:
+        return chosen.select("project", "path", "content")
+    if limit < 1:
+        raise ValueError("a sample has at least one file")
     by_path = Window.partitionBy("project").orderBy("path")
     ranked = chosen.select("project", "path", F.row_number().over(by_path).alias("_rank"))
     last = ranked.filter(F.col("_rank") <= limit).groupBy("project").agg(F.max("path").alias("_last"))
@@ -82,17 +84,22 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
 
     def contexts(bound: Column) -> Column:
         hits, gaps = bound["hits"], bound["gaps"]
-        ends = F.transform(gaps, lambda g: F.right(g, F.lit(margin)))
-        starts = F.transform(gaps, lambda g: F.left(g, F.lit(margin)))
-        shortest = F.array_min(F.transform(hits, lambda h: F.length(h)))
-        pieces = F.struct(
-            hits.alias("hits"), ends.alias("ends"), starts.alias("starts"),
-            # The gap before a hit with the hit, and the hit with the gap after it.
-            F.transform(hits, lambda h, i: F.concat(F.get(ends, i), h)).alias("lead"),
-            F.transform(hits, lambda h, i: F.concat(h, F.get(starts, i + 1))).alias("tail"),
-            F.ceil(F.lit(margin) / shortest).cast("int").alias("reach"),
+        trimmed = F.struct(
+            hits.alias("hits"),
+            F.transform(gaps, lambda g: F.right(g, F.lit(margin))).alias("ends"),
+            F.transform(gaps, lambda g: F.left(g, F.lit(margin))).alias("starts"),
+            F.array_min(F.transform(hits, lambda h: F.length(h))).alias("shortest"),
         )
 
+        def pieces(t: Column) -> Column:
+            return F.struct(
+                t["hits"].alias("hits"), t["ends"].alias("ends"), t["starts"].alias("starts"),
+                # The gap before a hit with the hit, and the hit with the gap after it.
+                F.transform(t["hits"], lambda h, i: F.concat(F.get(t["ends"], i), h)).alias("lead"),
+                F.transform(t["hits"], lambda h, i: F.concat(h, F.get(t["starts"], i + 1))).alias("tail"),
+                F.ceil(F.lit(margin) / t["shortest"]).cast("int").alias("reach"),
+            )
+
         def around(p: Column) -> Column:
             def one(hit: Column, i: Column) -> Column:
                 first = F.greatest(F.lit(0), i - p["reach"])
@@ -105,7 +112,9 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
 
             return F.transform(p["hits"], one)
 
-        return F.when(F.size(hits) > 0, text.bind(pieces, around)).otherwise(none)
+        # Bound one after the other: a lambda would evaluate an unbound list again for every hit.
+        found = text.bind(trimmed, lambda t: text.bind(pieces(t), around))
+        return F.when(F.size(hits) > 0, found).otherwise(none)
 
     cut = F.struct(
         F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("hits"),
@@ -115,54 +124,84 @@ def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column
     return F.when(rx.possible(F.col("content"), patterns), contexts_of_text).otherwise(none)
 
 
+def _languages(framework: Column, catalogue: Catalogue) -> Column:
+    pairs = [F.lit(v) for item in catalogue.framework_languages.items() for v in item]
+    return F.coalesce(F.element_at(F.create_map(*pairs), framework), F.lit("unknown"))
+
+
 def project_features(
-    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int = vocab.SAMPLE_FILES
+    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int | None = vocab.SAMPLE_FILES
 ) -> DataFrame:
     """Everything the context needs, one row per project of ``files``.
 
-    The sampled contents are shuffled once, by project; the hint keeps them from being broadcast
-    on an estimate. Search, language choice, extraction and the final aggregate reuse that
-    partitioning. A project contributes at most ``limit`` files of ``vocab.MAX_FILE_BYTES`` bytes,
-    which bounds both the window and the collected lists.
+    The framework of a project is a minimum over its files and comes back to them as one short row.
+    What a file holds is then exploded and reduced to the first place of each distinct hit, partly
+    before the shuffle; texts enter no window and no list. The lists of distinct hits are assembled
+    last, from short rows, so their size follows from what a project holds and not from its texts.
     """
-    sampled = sample_files(files, limit).hint("merge")
-    rows = manifest_languages(files, catalogue).join(sampled, "project", "left")
-    rows = rows.withColumn("_framework", _first_framework(catalogue))
-    hit = F.when(F.col("_framework").isNotNull(), F.struct("path", "_framework"))
-    first = F.min(hit).over(Window.partitionBy("project"))
-    rows = rows.withColumn("framework", F.coalesce(first["_framework"], F.lit("unknown")))
-    pairs = [F.lit(v) for item in catalogue.framework_languages.items() for v in item]
-    mapped = F.coalesce(F.element_at(F.create_map(*pairs), F.col("framework")), F.lit("unknown"))
-    rows = rows.withColumn(
-        "language", F.when(F.col("framework") == "unknown", F.col("manifest_language")).otherwise(mapped)
+    sampled = sample_files(files, limit)
+    manifests = manifest_languages(files, catalogue)
+    framework = _first_framework(catalogue)
+    first = sampled.select("project", F.struct("path", framework.alias("framework")).alias("_hit"))
+    first = first.filter(F.col("_hit.framework").isNotNull()).groupBy("project").agg(F.min("_hit").alias("_hit"))
+    facts = manifests.join(first, "project", "left").select(
+        "project",
+        F.coalesce(F.col("_hit.framework"), F.lit("unknown")).alias("framework"),
+        F.when(F.col("_hit").isNull(), F.col("manifest_language"))
+        .otherwise(_languages(F.col("_hit.framework"), catalogue)).alias("language"),
     )
+    rows = lookup_join(sampled, facts, "project", spread=["path"], size_of=files.select("project").distinct())
     auth = {c: rx.found(F.col("content"), p) for c, p in catalogue.auth.items()}
-    extracted = rows.select(
-        "project", "framework", "language", "path",
-        _hits_by_language(catalogue.routes, trim=False).alias("routes"),
-        _hits_by_language(catalogue.models, trim=True).alias("models"),
-        _role_contexts(catalogue.roles).alias("roles"),
-        *[found.alias(f"_auth_{c}") for c, found in auth.items()],
-    )
     any_auth = F.lit(False)
     for category in auth:
         any_auth = any_auth | F.col(f"_auth_{category}")
-    per_file = F.struct("path", "routes", "models", "roles", any_auth.alias("auth"))
-    grouped = extracted.groupBy("project").agg(
-        F.first("framework").alias("framework"),
-        F.first("language").alias("language"),
-        F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), per_file))).alias("_files"),
-        F.count("path").alias("files_sampled"),
-        F.struct(*[F.count_if(f"_auth_{c}").alias(c) for c in auth]).alias("auth_counts"),
+    lists = {
+        "routes": _hits_by_language(catalogue.routes, trim=False),
+        "models": _hits_by_language(catalogue.models, trim=True),
+        "roles": _role_contexts(catalogue.roles),
+    }
+    searched = rows.select(
+        "project", "framework", "language", "path",
+        *[found.alias(name) for name, found in lists.items()], *[found.alias(f"_auth_{c}") for c, found in auth.items()],
     )
 
-    def in_file_order(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform("_files", lambda f: f[name]))).alias(name)
+    def of_file(kind: str, holds: Column) -> Column:
+        return F.when(holds, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.col("path").alias("hit"))))
+
+    def of_list(kind: str) -> Column:
+        return F.transform(kind, lambda hit, place: F.struct(F.lit(kind).alias("kind"), place.alias("place"), hit.alias("hit")))
 
-    return grouped.select(
-        "project", "framework", "language", "files_sampled", "auth_counts",
-        F.transform(F.filter("_files", lambda f: f["auth"]), lambda f: f["path"]).alias("auth_files"),
-        in_file_order("routes"), in_file_order("models"), in_file_order("roles"),
+    none = F.array().cast("array<struct<kind:string,place:int,hit:string>>")
+    items = F.concat(
+        of_file("file", F.lit(True)),
+        F.coalesce(of_file("auth", any_auth), none),
+        *[F.coalesce(of_file(f"auth_{c}", F.col(f"_auth_{c}")), none) for c in auth],
+        *[of_list(name) for name in lists],
+    )
+    exploded = searched.select("project", "framework", "language", "path", F.explode(items).alias("_item"))
+    distinct = exploded.groupBy("project", F.col("_item.kind").alias("kind"), F.col("_item.hit").alias("hit")).agg(
+        F.min(F.struct("path", F.col("_item.place").alias("place"))).alias("first"),
+        F.first("framework").alias("framework"), F.first("language").alias("language"),
+    )
+
+    def listed(kind: str) -> Column:
+        places = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("first", "hit"))))
+        return F.transform(places, lambda x: x["hit"])
+
+    found = distinct.groupBy("project").agg(
+        F.first("framework").alias("framework"), F.first("language").alias("language"),
+        F.count_if(F.col("kind") == "file").alias("files_sampled"),
+        F.struct(*[F.count_if(F.col("kind") == f"auth_{c}").alias(c) for c in auth]).alias("auth_counts"),
+        listed("auth").alias("auth_files"), *[listed(name).alias(name) for name in lists],
+    )
+    texts = F.array().cast("array<string>")
+    zero = F.lit(0).cast("long")
+    return manifests.join(found, "project", "left").select(
+        "project", F.coalesce("framework", F.lit("unknown")).alias("framework"),
+        F.coalesce("language", "manifest_language").alias("language"),
+        F.coalesce("files_sampled", zero).alias("files_sampled"),
+        F.coalesce("auth_counts", F.struct(*[zero.alias(c) for c in auth])).alias("auth_counts"),
+        *[F.coalesce(name, texts).alias(name) for name in ("auth_files", *lists)],
     )
 
 
@@ -179,7 +218,7 @@ def auth_summary(categories: Sequence[str]) -> Column:
 
 
 def build_snapshot(
-    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int = vocab.SAMPLE_FILES
+    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int | None = vocab.SAMPLE_FILES
 ) -> DataFrame:
     """The security context, one row per project."""
     features = project_features(files, catalogue, limit)

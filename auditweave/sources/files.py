@@ -35,21 +35,17 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
     )
 
 
-def refusal(path: Column, size: Column, max_bytes: int = vocab.MAX_FILE_BYTES) -> Column:
+def refusal(path: Column, size: Column, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> Column:
     """Why a file is not reviewed, or null."""
-    return (
-        F.when(~text.is_code(path), F.lit("extension"))
-        .when(text.in_skipped_dir(path), F.lit("directory"))
-        .when(size > max_bytes, F.lit("size"))
-    )
+    reason = F.when(~text.is_code(path), F.lit("extension")).when(text.in_skipped_dir(path), F.lit("directory"))
+    return reason if max_bytes is None else reason.when(size > max_bytes, F.lit("size"))
 
 
-def admitted(files: DataFrame, max_bytes: int = vocab.MAX_FILE_BYTES) -> DataFrame:
-    """Files with a code suffix, outside skipped directories, up to ``max_bytes``."""
+def admitted(files: DataFrame, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> DataFrame:
+    """Files with a code suffix, outside skipped directories, up to ``max_bytes`` (None: of any size)."""
     path = F.col("path")
-    return files.filter(
-        (F.col("size_bytes") <= max_bytes) & text.is_code(path) & ~text.in_skipped_dir(path)
-    )
+    chosen = text.is_code(path) & ~text.in_skipped_dir(path)
+    return files.filter(chosen if max_bytes is None else (F.col("size_bytes") <= max_bytes) & chosen)
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -59,14 +55,15 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def reviewable(
     files: DataFrame,
-    max_lines: int = vocab.MAX_FILE_LINES,
+    max_lines: int | None = vocab.MAX_FILE_LINES,
     min_lines: int = vocab.MIN_FILE_LINES,
 ) -> DataFrame:
-    """Cap long files and flag those with enough lines for a review.
+    """Cap long files (None: leave them whole) and flag those with enough lines for a review.
 
-    Short files keep their row, since they count as scanned.
+    Short files keep their row, since they count as scanned. ``truncated`` tells which files were cut.
     """
-    capped = files.withColumn("content", text.cap_lines(F.col("content"), max_lines))
+    cut = F.lit(False) if max_lines is None else F.coalesce(text.line_count(F.col("content")) > max_lines, F.lit(False))
+    capped = files.withColumns({"content": text.cap_lines(F.col("content"), max_lines), "truncated": cut})
     enough = text.line_count(text.strip(F.col("content"))) >= min_lines
     return capped.withColumn("long_enough", F.coalesce(enough, F.lit(False)))
 

@@ -20,7 +20,6 @@ MIN_FILE_LINES = 10
 CHUNK_TOKENS = 8000
 CHUNK_OVERLAP = 200
 SAMPLE_FILES = 100
-MAX_SAMPLE_FILES = 1000
 CONTEXT_TOKENS = 2000
 MAX_ATTEMPTS = 3
 DEBOUNCE = "800 milliseconds"

@@ -119,10 +119,27 @@ def test_sample_takes_first_paths_in_both_joins(spark, monkeypatch, rows):
     assert [r.path for r in got if r.project == "small"] == ["a.py"]
 
 
-def test_sample_size_is_bounded(spark):
-    for limit in (0, 1001):
-        with pytest.raises(ValueError):
-            ctx.sample_files(project(spark, ("p", "a.py", "x")), limit)
+def test_sample_sizes(spark):
+    with pytest.raises(ValueError):
+        ctx.sample_files(project(spark, ("p", "a.py", "x")), 0)
+    files = project(spark, *[("p", f"f{i}.py", f"@app.get('/r{i:04d}')\nimport fastapi") for i in range(1200)])
+    assert ctx.sample_files(files, None).count() == 1200
+    got = ctx.build_snapshot(files, limit=None).first()
+    assert got.framework == "fastapi" and len(got.routes) == 1200
+
+
+def test_texts_meet_in_no_window_and_no_list(spark):
+    plan = ctx.build_snapshot(project(spark, ("p", "a.py", "x")), limit=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    for line in plan.splitlines():
+        assert not ("collect_list" in line and "content" in line)
+
+
+def test_role_contexts_are_linear(spark):
+    """Sixty thousand hits in one file; quadratic work would not end within the test."""
+    text = "if user.is_admin: x\n" * 60_000
+    got = ctx.build_snapshot(project(spark, ("p", "a.py", text[:499_000]))).first()
+    assert 0 < len(got.roles) < 10
 
 
 def test_sample_plan_limits_before_the_shuffle_and_prunes_content(spark, tmp_path):
