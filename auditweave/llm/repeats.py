@@ -224,9 +224,12 @@ def all_cells(texts: DataFrame, length: int) -> DataFrame:
 
 
 def recurring(cells: DataFrame) -> DataFrame:
-    """The cells whose group has several, counting copies."""
+    """The cells whose group has several, counting copies.
+
+    The groups are written first: a join with a stored table can split a group with very many cells.
+    """
     several = cells.groupBy("group").agg(F.sum("copies").alias("n")).where("n > 1").select("group")
-    return cells.join(several, "group")
+    return cells.join(stored(several, "groups"), "group")
 
 
 def with_texts(cells: DataFrame, texts: DataFrame, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -343,7 +346,8 @@ def recurring_starts(texts: DataFrame, length: int = LENGTH, group_segments: int
         known = stored(segments_known(recurring(cells), texts, length), "segments")
         classes = known.groupBy("group", "digest").agg(
             F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "at")).alias("one"))
-        groups = classes.groupBy("group").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"))
+        classes = stored(classes, "classes")
+        groups = stored(classes.groupBy("group").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")), "groups")
         classes = stored(classes.join(groups, "group").select("group", "digest", "n", "classes", "least", "one.*"), "classes")
         large = classes.where(F.col("classes") > group_segments)
         unsettled = classes.where((F.col("classes") <= group_segments) & (F.col("least") == 1))
