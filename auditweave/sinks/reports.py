@@ -1,21 +1,21 @@
 """JSON and SARIF reports.
 
-A document holds at most about ``page_size`` findings. Projects up to that size get the one
-document they expect; larger ones get several valid documents that together hold every finding,
-so that no single row or task has to hold a project.
+A document is made of ordered parts: rows ``project, part, ordinal, text`` whose texts, one after the
+other, are the document. The first part opens it, then comes one part per element, the last closes it.
+So a project with any number of findings has one document of one shape, and no row or task holds it
+whole. :func:`document_of` joins the parts of a project that the caller names.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave import vocab
 from auditweave.functions.findings import finding_struct, rule_title, sarif_level, sarif_message
 from auditweave.operators.findings import LINEAGE, scan_summary
-from auditweave.plans.joins import lookup_join
 
-PAGE_SIZE = 20_000
 TOOL_NAME = "auditweave"
 TOOL_VERSION = "0.1.0"
 # The names SARIF 2.1.0 prescribes.
@@ -29,34 +29,47 @@ def report_format(path: str) -> str:
     return "sarif" if path.lower().endswith(".sarif") else "json"
 
 
-def _pages(findings: DataFrame, page_size: int) -> DataFrame:
-    """Add a ``page`` per project: all zero up to ``page_size``, else spread by a hash of the id."""
-    sizes = findings.groupBy("project").agg(F.ceil(F.count("*") / page_size).cast("long").alias("_pages"))
-    paged = lookup_join(findings, sizes, "project", spread=["finding_id"], size_of=findings.select("project").distinct())
-    return paged.withColumn("page", F.pmod(F.xxhash64("finding_id"), F.col("_pages")).cast("int")).drop("_pages")
+def _keys(*tables: DataFrame) -> DataFrame:
+    """Every project that any of ``tables`` names."""
+    return reduce(DataFrame.union, [t.select("project") for t in tables]).distinct()
 
 
-def _documents(
-    findings: DataFrame, projects: DataFrame, element: Column, order: Sequence[str], page_size: int
-) -> DataFrame:
-    """``project, page, items``: the elements of each document in order; empty for quiet projects."""
-    entry = F.struct(*order, F.col("finding_id"), F.col("vuln_class"), element.alias("_element"))
-    pages = _pages(findings, page_size).groupBy("project", "page").agg(
-        F.sort_array(F.collect_list(entry)).alias("items")
-    )
-    joined = projects.select("project").distinct().join(pages, "project", "left")
-    none = F.array().cast(pages.schema["items"].dataType)
-    return joined.select(
-        "project", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("items", none).alias("items")
-    )
+def _fixed(projects: DataFrame, part: int, text: Column) -> DataFrame:
+    return projects.select("project", F.lit(part).alias("part"), F.lit(0).cast("long").alias("ordinal"), text.alias("text"))
 
 
-def finding_arrays(
-    findings: DataFrame, projects: DataFrame, order: Sequence[str] = LINEAGE, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """The findings of each project as a JSON array."""
-    docs = _documents(findings, projects, finding_struct(), order, page_size)
-    return docs.select("project", "page", F.to_json(F.transform("items", lambda x: x["_element"])).alias("document"))
+def _elements(rows: DataFrame, part: int, json: Column, order: Sequence[str]) -> DataFrame:
+    """One part per row of ``rows`` in ``order``; all but the first of a project begin with a comma.
+
+    Rows are counted per value of the first order column, and each such group starts its numbers after
+    those before it, so a project with very many rows is numbered by many tasks.
+    """
+    placed = rows.select("project", F.col(order[0]).alias("_first"), F.struct(*order).alias("_order"), json.alias("_json"))
+    sizes = placed.groupBy("project", "_first").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("project").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("project").alias("_project"), F.col("_first").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("project").eqNullSafe(F.col("_project")) & F.col("_first").eqNullSafe(F.col("_of"))
+    inside = Window.partitionBy("project", "_first").orderBy("_order")
+    ordinal = (F.col("_start") + F.row_number().over(inside) - 1).cast("long")
+    numbered = placed.join(starts, same).select("project", F.lit(part).alias("part"), ordinal.alias("ordinal"), "_json")
+    comma = F.when(F.col("ordinal") > 0, F.lit(",")).otherwise(F.lit(""))
+    return numbered.select("project", "part", "ordinal", F.concat(comma, "_json").alias("text"))
+
+
+def _finding_parts(findings: DataFrame, element: Column, order: Sequence[str]) -> DataFrame:
+    return _elements(findings, 1, F.to_json(element), (*order, "finding_id"))
+
+
+def _parts(*tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def finding_arrays(findings: DataFrame, projects: DataFrame, order: Sequence[str] = LINEAGE) -> DataFrame:
+    """The findings of each project as a JSON array, in parts."""
+    every = _keys(projects, findings)
+    return _parts(
+        _fixed(every, 0, F.lit("[")), _finding_parts(findings, finding_struct(), order), _fixed(every, 2, F.lit("]")))
 
 
 def json_reports(
@@ -64,39 +77,28 @@ def json_reports(
     scanned: DataFrame,
     errors: DataFrame | None = None,
     order: Sequence[str] = LINEAGE,
-    page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """``{summary, findings, errors}`` per project; ``scanned`` holds ``project, files_scanned``.
+    """``{summary, findings, errors}`` per project in parts; ``scanned`` holds ``project, files_scanned``.
 
-    Every page repeats the summary of the whole project. Errors are spread over pages by the same
-    rule as findings, so a project with few errors has all of them in its first document.
+    Every project with scanned files, findings or errors has a document; where nothing was scanned the
+    count is zero. Pass stored findings: they are read for the elements and for the summary.
     """
-    docs = _documents(findings, scanned, finding_struct(), order, page_size)
-    docs = docs.select("project", "page", F.transform("items", lambda x: x["_element"]).alias("findings"))
-    none = F.array().cast("array<string>")
-    if errors is None:
-        docs = docs.withColumn("errors", none)
-    else:
-        docs = docs.join(_error_pages(errors, page_size), ["project", "page"], "full")
-        no_findings = F.array().cast(docs.schema["findings"].dataType)
-        docs = docs.select(
-            "project", "page",
-            F.coalesce("findings", no_findings).alias("findings"), F.coalesce("errors", none).alias("errors"),
-        )
-    summary = scan_summary(findings, scanned)
-    counts = [c for c in summary.columns if c != "project"]
-    joined = lookup_join(docs, summary, "project", spread=["page"], size_of=scanned)
-    body = F.struct(F.struct(*counts).alias("summary"), "findings", "errors")
-    return joined.select("project", "page", F.to_json(body).alias("document"))
-
-
-def _error_pages(errors: DataFrame, page_size: int) -> DataFrame:
-    sizes = errors.groupBy("project").agg(F.ceil(F.count("*") / page_size).cast("long").alias("_pages"))
-    paged = lookup_join(errors, sizes, "project", spread=["error"], size_of=errors.select("project").distinct())
-    page = F.pmod(F.xxhash64("error"), F.col("_pages")).cast("int")
-    return paged.groupBy("project", page.alias("page")).agg(
-        F.sort_array(F.collect_list("error")).alias("errors")
-    )
+    every = _keys(scanned, findings, *([] if errors is None else [errors]))
+    counted = every.join(scanned.select("project", "files_scanned"), "project", "left").select(
+        "project", F.coalesce("files_scanned", F.lit(0)).cast("long").alias("files_scanned"))
+    summary = scan_summary(findings, counted)
+    counts = F.to_json(F.struct(*[c for c in summary.columns if c != "project"]))
+    parts = [
+        _fixed(summary, 0, F.concat(F.lit('{"summary":'), counts, F.lit(',"findings":['))),
+        _finding_parts(findings, finding_struct(), order),
+        _fixed(every, 2, F.lit('],"errors":[')),
+        _fixed(every, 4, F.lit("]}")),
+    ]
+    if errors is not None:
+        listed = F.to_json(F.array("error"))
+        quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)  # the entry without its brackets
+        parts.append(_elements(errors, 3, quoted, ("error",)))
+    return _parts(*parts)
 
 
 def sarif_result() -> Column:
@@ -140,29 +142,45 @@ def sarif_rules(findings: DataFrame, order: Sequence[str] = LINEAGE) -> DataFram
     return first.select("project", "vuln_class", rule_title(F.col("vuln_class")).alias("title"), F.lit("warning").alias("level"), "first_seen")
 
 
-def sarif_documents(
-    findings: DataFrame, projects: DataFrame, order: Sequence[str] = LINEAGE, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """SARIF 2.1.0 documents with one run each, valid also without findings."""
-    docs = _documents(findings, projects, sarif_result(), order, page_size)
-    classes = F.array_distinct(F.transform("items", lambda x: x["vuln_class"]))
-    driver = F.struct(
-        F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"),
-        F.transform(classes, _rule).alias("rules"),
-    )
-    run = F.struct(
-        F.struct(driver.alias("driver")).alias("tool"),
-        F.transform("items", lambda x: x["_element"]).alias("results"),
+def sarif_documents(findings: DataFrame, projects: DataFrame, order: Sequence[str] = LINEAGE) -> DataFrame:
+    """SARIF 2.1.0 documents with one run each, in parts; valid also without findings."""
+    every = _keys(projects, findings)
+    seen = sarif_rules(findings, order).groupBy("project").agg(
+        # At most one entry per class of the vocabulary.
+        F.sort_array(F.collect_list(F.struct("first_seen", "vuln_class"))).alias("_classes"))
+    rules = F.transform(F.coalesce("_classes", F.array()), lambda x: _rule(x["vuln_class"]))
+    rules = F.when(F.col("_classes").isNull(), F.lit("[]")).otherwise(F.to_json(rules))
+    head = F.concat(
+        F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'
+              f'{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}","rules":'),
+        rules, F.lit('}},"results":['),
     )
-    body = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(run).alias("runs")
+    return _parts(
+        _fixed(every.join(seen, "project", "left"), 0, head),
+        _finding_parts(findings, sarif_result(), order),
+        _fixed(every, 2, F.lit("]}]}")),
     )
-    return docs.select("project", "page", F.to_json(body).alias("document"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One directory per project, one document per line."""
-    documents.select("project", F.col("document").alias("value")).write.mode("overwrite").partitionBy("project").text(path)
+def document_of(parts: DataFrame, project: str) -> str:
+    """The whole document of one project that the caller knows to be small enough for the driver."""
+    rows = parts.where(F.col("project") == project).orderBy("part", "ordinal").select("text").collect()
+    return "".join(r["text"] for r in rows)
+
+
+def documents(parts: DataFrame) -> DataFrame:
+    """``project, document``: each document in one row, for projects whose documents fit one."""
+    pieces = F.sort_array(F.collect_list(F.struct("part", "ordinal", "text")))
+    return parts.groupBy("project").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("document"))
+
+
+def write_parts(parts: DataFrame, path: str) -> None:
+    """Directories per project; their files by name, and the lines in them, are the parts in order.
+
+    Line ends between parts are white space of the document, so the lines together are the document.
+    """
+    ranged = parts.repartitionByRange("project", "part", "ordinal").sortWithinPartitions("project", "part", "ordinal")
+    ranged.select("project", F.col("text").alias("value")).write.mode("overwrite").partitionBy("project").text(path)
 
 
 def write_report(
@@ -174,9 +192,9 @@ def write_report(
 ) -> None:
     """Write reports in the format that the suffix of ``path`` names."""
     if report_format(path) == "sarif":
-        write_documents(sarif_documents(findings, scanned, order), path)
+        write_parts(sarif_documents(findings, scanned, order), path)
     else:
-        write_documents(json_reports(findings, scanned, errors, order), path)
+        write_parts(json_reports(findings, scanned, errors, order), path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

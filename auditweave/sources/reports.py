@@ -24,3 +24,12 @@ def report_findings(reports: DataFrame) -> DataFrame:
     texts = [c for c, kind in rows.dtypes if kind == "string"]
     filled = rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c in texts else F.col(c) for c in rows.columns])
     return filled.withColumnRenamed("id", "finding_id")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of JSON reports that were written in parts, one finding to a line."""
+    finding = T.StructType([*vocab.FINDING_FIELDS.fields])
+    lines = spark.read.text(path)
+    found = lines.where(F.col("value").rlike(r'^,?\{"id":')).select(
+        F.col("project").cast("string").alias("project"), F.from_json(F.ltrim("value", F.lit(",")), finding).alias("f"))
+    return report_findings(found.select("project", F.array("f").alias("findings")))

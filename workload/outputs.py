@@ -41,7 +41,7 @@ def scanned(spark, sf_dir):
 @query(
     "json_reports",
     with_views(
-        f"""SELECT project, CAST(0 AS bigint) AS page, CAST(to_json({{'summary': {{'files_scanned': files_scanned, 'total_findings': t, 'critical': c,
+        f"""SELECT project, CAST(to_json({{'summary': {{'files_scanned': files_scanned, 'total_findings': t, 'critical': c,
               'high': h, 'medium': 0, 'low': 0, 'info': 0}}, 'findings': f, 'errors': e}}) AS varchar) AS document
             FROM scanned JOIN (SELECT project, count(*) AS t, count(*) FILTER (severity = 'CRITICAL') AS c,
                                count(*) FILTER (severity = 'HIGH') AS h, list({_OBJECT} {_ORDER}) AS f FROM severe GROUP BY project) USING (project)
@@ -53,19 +53,19 @@ def json_reports(spark, sf_dir):
     errors = raw_findings(spark, sf_dir).select(
         "project", F.concat(F.lit("Could not read: "), F.col("file")).alias("error")
     ).distinct()
-    return whole(reports.json_reports(severe(spark, sf_dir), scanned(spark, sf_dir), errors))
+    return reports.documents(reports.json_reports(severe(spark, sf_dir), scanned(spark, sf_dir), errors))
 
 
 @query(
     "finding_arrays",
     with_views(
-        f"""SELECT project, CAST(0 AS bigint) AS page, CAST(to_json(list({_OBJECT} {_ORDER})) AS varchar) AS document
+        f"""SELECT project, CAST(to_json(list({_OBJECT} {_ORDER})) AS varchar) AS document
             FROM severe GROUP BY project""",
         *REPORT_VIEWS,
     ),
 )
 def finding_arrays(spark, sf_dir):
-    return whole(reports.finding_arrays(severe(spark, sf_dir), scanned(spark, sf_dir)))
+    return reports.documents(reports.finding_arrays(severe(spark, sf_dir), scanned(spark, sf_dir)))
 
 
 @query(
@@ -93,7 +93,7 @@ def sarif_rules(spark, sf_dir):
 @query(
     "sarif_documents",
     with_views(
-        f"""SELECT project, CAST(0 AS bigint) AS page, CAST(to_json({{
+        f"""SELECT project, CAST(to_json({{
               '$schema': 'https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json',
               'version': '2.1.0', 'runs': [{{'tool': {{'driver': {{'name': 'auditweave', 'version': '0.1.0', 'rules': rules}}}}, 'results': results}}]}})
               AS varchar) AS document
@@ -107,7 +107,7 @@ def sarif_rules(spark, sf_dir):
     ),
 )
 def sarif_documents(spark, sf_dir):
-    return whole(reports.sarif_documents(severe(spark, sf_dir), scanned(spark, sf_dir)))
+    return reports.documents(reports.sarif_documents(severe(spark, sf_dir), scanned(spark, sf_dir)))
 
 
 # --- change events -------------------------------------------------------------------------------
