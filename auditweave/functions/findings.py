@@ -1,5 +1,7 @@
 """Column expressions over findings."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,14 @@ def line_bucket(line: Column) -> Column:
     return F.floor(line / 10)
 
 
-def finding_id() -> Column:
-    """Stable id from the deduplication key, so a retried task or a later scan repeats it."""
+def finding_id(scope: Sequence[str] = ()) -> Column:
+    """Stable id from the deduplication key, so a retried task or a later scan repeats it.
+
+    ``scope`` names further columns of that key, such as the diff of a diff review.
+    """
     key = F.concat_ws(
         "\x1f",
-        *[F.coalesce(F.col(c), F.lit("")) for c in ("project", "vuln_class", "file")],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project", *scope, "vuln_class", "file")],
         line_bucket(F.col("line_start")).cast("string"),
         F.coalesce(F.col("title"), F.lit("")),
     )

@@ -12,18 +12,19 @@ LINEAGE = ("source_path", "chunk_index", "item_index")
 BASELINE_KEYS = ("project", "vuln_class", "file", "title")
 
 
-def deduplicate(findings: DataFrame, order: Sequence[str] = LINEAGE) -> DataFrame:
+def deduplicate(findings: DataFrame, order: Sequence[str] = LINEAGE, scope: Sequence[str] = ()) -> DataFrame:
     """One finding per class, file, bucket of ten lines and title, with a stable ``finding_id``.
 
-    The highest confidence wins, then the first in ``order``. The rank filter keeps one row per
+    ``scope`` names columns inside which findings are compared, ``("diff_id",)`` where each diff is a
+    review of its own. The highest confidence wins, then the first in ``order``. The rank filter keeps one row per
     key in each input partition before the shuffle, so a key with many copies does no harm.
     """
     keyed = findings.withColumn("_bucket", line_bucket(F.col("line_start")))
-    best = Window.partitionBy("project", "vuln_class", "file", "_bucket", "title").orderBy(
+    best = Window.partitionBy("project", *scope, "vuln_class", "file", "_bucket", "title").orderBy(
         confidence_rank(F.col("confidence")).desc(), *order
     )
     first = keyed.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == 1)
-    return first.withColumn("finding_id", finding_id()).drop("_bucket", "_rank")
+    return first.withColumn("finding_id", finding_id(scope)).drop("_bucket", "_rank")
 
 
 def _known(name: str, ranks: dict) -> int:
@@ -102,18 +103,21 @@ def files_scanned(files: DataFrame, errors: DataFrame | None = None) -> DataFram
     return counted.join(failed, "project", "left").select("project", left.alias("files_scanned"))
 
 
-def files_with_findings(findings: DataFrame) -> DataFrame:
+def files_with_findings(findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Files scanned as a diff review counts them: distinct files before the severity filter."""
-    return findings.groupBy("project").agg(F.count_distinct("file").alias("files_scanned"))
+    return findings.groupBy("project", *scope).agg(F.count_distinct("file").alias("files_scanned"))
 
 
-def gate(findings: DataFrame, projects: DataFrame | None = None, threshold: str | None = None) -> DataFrame:
-    """Verdict per project: blocked if any finding (of at least ``threshold``) remains."""
-    counted = at_least_severity(findings, threshold).groupBy("project").agg(F.count("*").alias("blocking"))
+def gate(
+    findings: DataFrame, projects: DataFrame | None = None, threshold: str | None = None, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Verdict per project (and ``scope``, such as a diff): blocked if any finding (of at least ``threshold``) remains."""
+    keys = ["project", *scope]
+    counted = at_least_severity(findings, threshold).groupBy(*keys).agg(F.count("*").alias("blocking"))
     if projects is not None:
-        counted = projects.select("project").distinct().join(counted, "project", "left")
+        counted = projects.select(*keys).distinct().join(counted, keys, "left")
     blocking = F.coalesce("blocking", F.lit(0).cast("long"))
-    return counted.select("project", blocking.alias("blocking"), (blocking > 0).alias("blocked"))
+    return counted.select(*keys, blocking.alias("blocking"), (blocking > 0).alias("blocked"))
 
 
 def hook_gate(findings: DataFrame, projects: DataFrame | None = None, threshold: str = vocab.DEFAULT_GATE) -> DataFrame:

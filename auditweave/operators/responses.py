@@ -1,5 +1,7 @@
 """From raw answers to validated findings and rejected items."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,14 @@ def _get(key: str, kind: str) -> Column:
     return F.try_variant_get(f"_fields.{key}", "$", kind)
 
 
-def response_items(responses: DataFrame) -> DataFrame:
+def response_items(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Every array element of every answer with its fields and, where invalid, a ``reason``.
 
-    Takes ``project, file_path, chunk_index, line_start, response``. Answers that are no JSON
+    Takes ``project, file_path, chunk_index, line_start, response``; the columns in ``carry``, such as
+    ``diff_id``, travel with every item. Answers that are no JSON
     array give one row without an item; empty arrays give none.
     """
-    keys = ("project", "file_path", "chunk_index", "line_start")
+    keys = ("project", *carry, "file_path", "chunk_index", "line_start")
     parsed = responses.select(
         *[F.col(k) if k != "line_start" else F.col(k).alias("_chunk_start") for k in keys],
         F.try_parse_json(json_part(F.col("response"))).alias("_json"),
@@ -51,7 +54,7 @@ def response_items(responses: DataFrame) -> DataFrame:
     )
     listed = parsed.withColumn("_items", items)
     rows = listed.select(
-        "project", F.col("file_path").alias("source_path"), "chunk_index", "_chunk_start",
+        "project", *carry, F.col("file_path").alias("source_path"), "chunk_index", "_chunk_start",
         F.when(F.col("_json").isNull(), F.lit("not_json")).when(F.col("_items").isNull(), F.lit("not_array")).alias("_broken"),
         F.posexplode_outer("_items").alias("item_index", "_fields"),
     )
@@ -65,7 +68,7 @@ def response_items(responses: DataFrame) -> DataFrame:
     file = F.when(named.isNull() | named.isin("", "0", "0.0", "false", "[]", "{}"), F.col("source_path")).otherwise(named)
     shift = F.when(F.col("_chunk_start") > 1, F.col("_chunk_start") - 1).otherwise(F.lit(0)).cast("long")
     fields = rows.select(
-        "project", "source_path", "chunk_index", "item_index", "_broken",
+        "project", *carry, "source_path", "chunk_index", "item_index", "_broken",
         F.col("_fields").isNotNull().alias("_object"),
         F.coalesce(present, F.lit(False)).alias("_present"),
         *[_get(k, "string").alias(k) for k in ("vuln_class", "severity", "confidence")],
@@ -93,7 +96,7 @@ def valid_findings(items: DataFrame) -> DataFrame:
     return items.filter(F.col("reason").isNull()).drop("reason")
 
 
-def rejected_items(items: DataFrame) -> DataFrame:
+def rejected_items(items: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return items.filter(F.col("reason").isNotNull()).select(
-        "project", "source_path", "chunk_index", "item_index", "reason"
+        "project", *carry, "source_path", "chunk_index", "item_index", "reason"
     )

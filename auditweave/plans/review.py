@@ -1,18 +1,23 @@
 """Batch review by a user-supplied callable, stored answers, retries and replay."""
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditweave import vocab
 from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, stored
 
+STORED_RESPONSES = T.StructType([*vocab.RESPONSES.fields, T.StructField("run_id", T.StringType())])
+BUCKETS = 4
 Reviewer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CHUNK_KEYS = ("project", "file_path", "chunk_index")
-DIFF_CHUNK_KEYS = ("project", "diff_id", "file_seq", "chunk_index")
+DIFF_CARRY = ("diff_id", "file_seq")
+DIFF_CHUNK_KEYS = ("project", *DIFF_CARRY, "chunk_index")
 
 
 def per_prompt(make_client: Callable[[], Callable[[str, str], str]], system_prompt: str) -> Reviewer:
@@ -52,15 +57,23 @@ def asked_prompts(prompts: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataF
     return first.select("prompt_id", *[F.col(f"_chunk.{k}").alias(k) for k in keys])
 
 
-def open_prompts(asked: DataFrame, responses: DataFrame, max_attempts: int = vocab.MAX_ATTEMPTS) -> DataFrame:
-    """Rows of ``asked`` without an answer and with attempts left, and the number of the next attempt."""
+def open_prompts(
+    asked: DataFrame, responses: DataFrame, max_attempts: int = vocab.MAX_ATTEMPTS, run_id: str | None = None
+) -> DataFrame:
+    """Rows of ``asked`` without an answer and with attempts left, and the number of the next attempt.
+
+    Answers count whoever asked for them. Failed attempts count only for the run ``run_id``, so that a
+    later run asks again after an outage; without one they count for ever.
+    """
+    own = F.lit(True) if run_id is None else F.col("run_id") == run_id
     state = responses.groupBy("prompt_id").agg(
-        F.max("attempt").alias("_tried"), F.max(F.col("response").isNotNull()).alias("_answered")
+        F.max("attempt").alias("_last"),
+        (F.max("attempt") if run_id is None else F.count_if(own)).alias("_tried"),
+        F.max(F.col("response").isNotNull()).alias("_answered"),
     )
-    tried = F.coalesce("_tried", F.lit(0))
-    unanswered = ~F.coalesce("_answered", F.lit(False)) & (tried < max_attempts)
+    unanswered = ~F.coalesce("_answered", F.lit(False)) & (F.coalesce("_tried", F.lit(0)) < max_attempts)
     rows = asked.join(state, "prompt_id", "left").filter(unanswered)
-    return rows.withColumn("attempt", tried + 1).drop("prompt_id", "_tried", "_answered")
+    return rows.withColumn("attempt", (F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("prompt_id", "_last", "_tried", "_answered")
 
 
 def with_texts(prompts: DataFrame, open_: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
@@ -90,31 +103,45 @@ def review_to_table(
     tasks: int | None = None,
     max_attempts: int = vocab.MAX_ATTEMPTS,
     keys: Sequence[str] = CHUNK_KEYS,
+    run_id: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Ask all pending prompts and append the answers to the table at ``path``.
 
-    The ids are stored once, so the rounds find open prompts without building texts. Each round
-    is one committed write: a lost executor repeats only its open tasks, and a restarted job goes
-    on with what is missing. Rounds end when nothing is left to ask.
+    Ids and the texts of open prompts are built and stored once; the rounds read these. A round is cut
+    into ``buckets`` by a hash of the chunk keys, and each is one committed write: if the job dies, the
+    answers of finished buckets are kept, and a restart goes on with what is missing. Failed attempts
+    are counted for the run ``run_id``; pass the same one to a restart, and none to begin a new run.
+    Rounds end when nothing is left to ask.
     """
     spark = prompts.sparkSession
+    run_id = run_id or uuid.uuid4().hex
     asked = stored(asked_prompts(prompts, keys), "asked-prompts")
+    texts = None
     for _ in range(max_attempts):
-        open_ = open_prompts(asked, read_responses(spark, path), max_attempts)
+        open_ = stored(open_prompts(asked, read_responses(spark, path), max_attempts, run_id), "open-prompts")
         if open_.isEmpty():
             break
-        review(with_texts(prompts, open_, keys), reviewer, tasks).write.mode("append").parquet(path)
+        if texts is None:
+            bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+            waiting = with_texts(prompts, open_, keys).select(*keys, "prompt_id", "prompt", bucket)
+            texts = stored(waiting, "open-texts", partition_by=("_bucket",))
+        for number in range(buckets):
+            part = with_texts(texts.filter(F.col("_bucket") == number), open_, keys)
+            if not part.isEmpty():
+                answered = review(part, reviewer, tasks)
+                answered.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
     return read_responses(spark, path)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The stored answers, or an empty table before the first round."""
     try:
-        return spark.read.schema(vocab.RESPONSES).parquet(path)
+        return spark.read.schema(STORED_RESPONSES).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], vocab.RESPONSES)
+        return spark.createDataFrame([], STORED_RESPONSES)
 
 
 def observed(responses: DataFrame, progress: Observation) -> DataFrame:
@@ -132,23 +159,29 @@ def answers(responses: DataFrame) -> DataFrame:
     return given.groupBy("prompt_id").agg(F.max_by("response", "attempt").alias("response"))
 
 
-def review_errors(prompts: DataFrame, responses: DataFrame, max_attempts: int = vocab.MAX_ATTEMPTS) -> DataFrame:
-    """Prompts that failed in every allowed attempt, with the last error."""
-    failed = responses.groupBy("prompt_id").agg(
+def review_errors(
+    prompts: DataFrame,
+    responses: DataFrame,
+    max_attempts: int = vocab.MAX_ATTEMPTS,
+    keys: Sequence[str] = CHUNK_KEYS,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Prompts that failed in every allowed attempt (of the run, if named), with the last error."""
+    tries = responses if run_id is None else responses.filter((F.col("run_id") == run_id) | F.col("response").isNotNull())
+    failed = tries.groupBy("prompt_id").agg(
+        F.count(F.lit(1)).alias("_tries"),
         F.max("attempt").alias("attempts"),
         F.max(F.col("response").isNotNull()).alias("_answered"),
         F.max_by("error", "attempt").alias("error"),
-    ).filter(~F.col("_answered") & (F.col("attempts") >= max_attempts))
-    return prompts.select("project", "file_path", "chunk_index", "prompt_id").join(
-        failed.drop("_answered"), "prompt_id"
-    )
+    ).filter(~F.col("_answered") & ((F.col("attempts") >= max_attempts) if run_id is None else (F.col("_tries") >= max_attempts)))
+    return prompts.select(*keys, "prompt_id").join(failed.drop("_answered", "_tries"), "prompt_id")
 
 
-def replay(prompts: DataFrame, responses: DataFrame) -> DataFrame:
+def replay(prompts: DataFrame, responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Chunks with their stored answers, joined by ``prompt_id``; the prompt text is not shuffled.
 
-    A prompt many chunks share makes one skewed key on the left side only, which adaptive
-    execution splits.
+    The columns in ``carry`` travel along: DIFF_CARRY for the prompts of diffs. A prompt many chunks
+    share makes one skewed key on the left side only, which adaptive execution splits.
     """
-    keys = prompts.select("project", "file_path", "chunk_index", "line_start", "prompt_id")
+    keys = prompts.select("project", *carry, "file_path", "chunk_index", "line_start", "prompt_id")
     return keys.join(answers(responses), "prompt_id").drop("prompt_id")

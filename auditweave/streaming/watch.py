@@ -2,21 +2,22 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from auditweave import vocab
 from auditweave.functions import text
 from auditweave.operators.chunking import chunk_text
-from auditweave.operators.context import rendered_contexts
 from auditweave.operators.prompts import build_prompts
 from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, shared_folder
 from auditweave.plans.review import Reviewer, replay, review_to_table
-from auditweave.plans.scan import findings_of
+from auditweave.plans.scan import contexts_of, findings_of
 
 CHANGE_KINDS = ("modified", "created")
 LATENESS = "10 minutes"
+LATE = "run_id string, batch_id long, dropped long"
 
 
 def admitted_changes(changes: DataFrame, min_bytes: int = vocab.MIN_CHANGE_BYTES) -> DataFrame:
@@ -34,9 +35,12 @@ def admitted_changes(changes: DataFrame, min_bytes: int = vocab.MIN_CHANGE_BYTES
 def debounce(changes: DataFrame, quiet: str = vocab.DEBOUNCE, lateness: str = LATENESS) -> DataFrame:
     """One row per run of changes of a path that is followed by ``quiet`` time without any.
 
-    Works on a stream, where rows later than ``lateness`` are dropped and counted, and on a table.
+    Rows of a stream later than ``lateness`` are dropped and counted. A table goes through
+    :func:`debounce_history`, which needs no task that holds all changes of a path.
     """
-    timed = changes.withWatermark("ts", lateness) if changes.isStreaming else changes
+    if not changes.isStreaming:
+        return debounce_history(changes, _milliseconds(changes.sparkSession, quiet))
+    timed = changes.withWatermark("ts", lateness)
     runs = timed.groupBy(F.session_window("ts", quiet).alias("run"), "project", "path").agg(
         F.max("ts").alias("last_change"), F.count("*").alias("changes")
     )
@@ -46,6 +50,12 @@ def debounce(changes: DataFrame, quiet: str = vocab.DEBOUNCE, lateness: str = LA
     )
 
 
+def _milliseconds(spark: SparkSession, duration: str) -> int:
+    """The length of an interval text such as ``800 milliseconds``."""
+    moment = F.timestamp_micros(F.lit(0))
+    return spark.range(1).select((F.unix_micros(moment + F.expr(f"INTERVAL {duration}")) / 1000).cast("long")).first()[0]
+
+
 def debounce_history(changes: DataFrame, quiet_ms: int = 800) -> DataFrame:
     """The runs of :func:`debounce` over a stored change log of any size.
 
@@ -86,15 +96,20 @@ def review_changed(
     max_tokens: int = vocab.CHUNK_TOKENS,
     overlap_tokens: int = vocab.CHUNK_OVERLAP,
     tasks: int | None = None,
+    max_lines: int | None = vocab.MAX_FILE_LINES,
 ) -> DataFrame:
-    """Findings of the current contents of the fired paths: no line minimum, no confidence filter."""
+    """Findings of the current contents of the fired paths: no line minimum, no confidence filter.
+
+    ``max_lines`` cuts long files as in a scan; ``None`` reviews them whole.
+    """
     names = fired.select("project", "path").distinct()
     if at_most(names, MAX_BROADCAST_ROWS):
         names = F.broadcast(names)
     current = files.join(names, ["project", "path"], "left_semi")
-    capped = current.withColumn("content", text.cap_lines(F.col("content")))
+    capped = current.withColumn("content", text.cap_lines(F.col("content"), max_lines))
+    projects = fired.select("project").distinct()
     prompts = build_prompts(
-        chunk_text(capped, max_tokens, overlap_tokens), rendered_contexts(snapshot), vuln_classes
+        chunk_text(capped, max_tokens, overlap_tokens), contexts_of(snapshot, projects), vuln_classes, size_of=projects
     )
     responses = review_to_table(prompts, reviewer, responses_path, tasks)
     return findings_of(replay(prompts, responses), severity, confidence=None)
@@ -113,7 +128,8 @@ def watch(
 ) -> DataStreamWriter:
     """A writer for ``start()`` that reviews changed files batch by batch into tables below ``out``.
 
-    ``files`` and ``snapshot`` give the current tables. A repeated batch overwrites its own
+    Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in the session, so that a
+    hot path sends one row from each input partition. ``files`` and ``snapshot`` give the current tables. A repeated batch overwrites its own
     directory and finds its answers already stored, so nothing is counted or asked twice.
     """
     spark = changes.sparkSession
@@ -128,8 +144,6 @@ def watch(
         finally:
             fired.unpersist()
 
-    # Merge the changes of a path within each input partition, so that a hot path sends one row from each.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     runs = debounce(admitted_changes(changes), quiet, lateness)
     return (
         runs.writeStream.outputMode("append")
@@ -153,10 +167,42 @@ def read_watch(spark: SparkSession, out: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{table}")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped so far because they came after the watermark."""
-    return sum(
-        state["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Appends the rows that each batch of the query ``name`` dropped after the watermark to ``{out}/late``.
+
+    Progress that a query keeps in memory covers its last batches only and begins anew with a restart;
+    the table has all of them. Register it with ``spark.streams.addListener`` before the start.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, name: str):
+        self.spark, self.out, self.name = spark, out, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name != self.name:
+            return
+        dropped = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        if dropped:
+            row = [(str(progress.runId), progress.batchId, dropped)]
+            frame = self.spark.createDataFrame(row, LATE).coalesce(1)
+            frame.write.mode("append").parquet(f"{self.out}/late")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def late_rows(spark: SparkSession, out: str) -> int:
+    """Rows dropped so far because they came after the watermark, over all batches and restarts."""
+    try:
+        counts = spark.read.schema(LATE).parquet(f"{out}/late")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return counts.groupBy("run_id", "batch_id").agg(F.max("dropped").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import Observation
@@ -206,14 +207,68 @@ def test_review_retries_resumes_and_replays(spark, tmp_path):
     progress = Observation("answers")
     rv.observed(responses, progress).write.format("noop").mode("overwrite").save()
     assert progress.get == {"answered": 1, "failed": 3}
-    rv.review_to_table(twice, rv.per_prompt(failing_client, SYSTEM_PROMPT), path)
+    run_id = rows[0].run_id
+    rv.review_to_table(twice, rv.per_prompt(failing_client, SYSTEM_PROMPT), path, run_id=run_id)
     assert rv.read_responses(spark, path).count() == 4
+    # A later run asks the failed prompt again, and only that.
+    rv.review_to_table(twice, rv.per_prompt(failing_client, SYSTEM_PROMPT), path, run_id="later")
+    later = rv.read_responses(spark, path).filter("run_id = 'later'").collect()
+    assert sorted((r.attempt, r.response) for r in later) == [(4, None), (5, None), (6, None)]
+    assert rv.review_errors(twice, rv.read_responses(spark, path), run_id="later").count() == 2
     errors = rv.review_errors(twice, responses).collect()
     assert {(r.project, r.attempts, r.error) for r in errors} == {("q", 3, "down"), ("copy", 3, "down")}
     found = scan.findings_of(rv.replay(twice, responses)).collect()
     assert {(r.project, r.file, r.line_start) for r in found} == {("p", "a.py", 5), ("copy", "a.py", 5)}
 
 
+def test_a_job_that_dies_keeps_finished_buckets(spark, tmp_path):
+    files = spark.createDataFrame([("p", f"f{i}.py", 9, f"code {i}") for i in range(24)], vocab.FILES)
+    prompts = build_prompts(chunk_text(files), ctx.rendered_contexts(ctx.empty_snapshot(files)))
+    path, calls = str(tmp_path / "answers"), tmp_path / "calls"
+    calls.mkdir()
+
+    def client():
+        def call(system, prompt):
+            (calls / uuid.uuid4().hex).touch()
+            return "[]"
+
+        return call
+
+    def dying(batches):
+        for batch in batches:
+            if batch["prompt"].str.contains("code 23").any():
+                raise SystemError("lost")
+            yield from rv.per_prompt(client, "s")(iter([batch]))
+
+    with pytest.raises(Exception, match="lost"):
+        rv.review_to_table(prompts, dying, path, tasks=1, run_id="r", buckets=12)
+    before = rv.read_responses(spark, path).count()
+    assert 0 < before < 24
+    asked = len(list(calls.iterdir()))
+    got = rv.review_to_table(prompts, rv.per_prompt(client, "s"), path, run_id="r", buckets=12)
+    assert got.count() == 24 and len(list(calls.iterdir())) - asked == 24 - before
+
+
+def test_diffs_keep_their_scope(spark):
+    rows = [("p", d, 0, "x.py", 0, 1, json.dumps([item(file="")])) for d in (1, 2)] + [("p", 2, 1, "x.py", 0, 1, json.dumps([item(file="")]))]
+    answered = spark.createDataFrame(rows, "project string, diff_id long, file_seq int, file_path string, chunk_index int, line_start int, response string")
+    found = scan.findings_of(answered, diffs=True)
+    assert sorted((r.diff_id, r.file_seq) for r in found.collect()) == [(1, 0), (2, 0)]
+    assert found.select("finding_id").distinct().count() == 2
+    verdicts = ops.gate(found, answered, "INFO", scan.DIFF_SCOPE).collect()
+    assert sorted((r.diff_id, r.blocking) for r in verdicts) == [(1, 1), (2, 1)]
+    assert scan.findings_of(answered).count() == 1
+
+
+def test_only_contexts_of_the_batch_are_sent(spark, tmp_path):
+    ctx.empty_snapshot(spark.range(5000).selectExpr("concat('p', id) AS project")).write.parquet(str(tmp_path / "s"))
+    snapshot = spark.read.parquet(str(tmp_path / "s"))
+    files = spark.createDataFrame([("p7", "a.py", 9, "x\n" * 20)], vocab.FILES)
+    plan = scan.scan_prompts(files, snapshot)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert scan.contexts_of(snapshot, files.select("project")).count() == 1
+
+
 def test_whole_scan_and_explain(spark, tmp_path):
     body = "\n".join(f"line {i}" for i in range(12))
     rows = [("p", "a.py", len(body), body), ("p", "short.py", 3, "x\ny"), ("p", "a.md", len(body), body)]

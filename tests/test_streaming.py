@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 import random
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,6 +24,13 @@ def table(spark, *rows):
     return spark.createDataFrame(list(rows), vocab.CHANGES)
 
 
+def wait_for(condition, seconds=30):
+    end = time.monotonic() + seconds
+    while not condition() and time.monotonic() < end:
+        time.sleep(0.5)
+    assert condition()
+
+
 def test_admission_of_changes(spark):
     rows = table(
         spark, change(0), change(1, kind="created"), change(2, kind="deleted"), change(3, directory=True), change(4, size=49), change(5, size=50),
@@ -92,8 +100,13 @@ def test_watch_reviews_changed_files(spark, tmp_path):
     put(spark, folder, "2.json", 2, change(100), change(100, path="b.py"))
     put(spark, folder, "3.json", 3, change(300, path="a.py"))
     put(spark, folder, "4.json", 4, change(1, path="a.py"))
-    late = run()
-    assert watch.late_rows(late) == 1
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    listener = watch.LateRows(spark, out, name)
+    spark.streams.addListener(listener)
+    assert watch.late_rows(spark, out) == 0
+    run()
+    wait_for(lambda: watch.late_rows(spark, out) == 1)
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     scans, found = watch.read_watch(spark, out, "scans"), watch.read_watch(spark, out, "findings")
     totals = watch.watch_totals(scans, found).first()
     assert (totals.project, totals.files_scanned, totals.findings) == ("p", 4, 2)
@@ -104,6 +117,8 @@ def test_watch_reviews_changed_files(spark, tmp_path):
     run()  # goes on from its checkpoint
     totals = watch.watch_totals(watch.read_watch(spark, out, "scans"), watch.read_watch(spark, out, "findings")).first()
     assert (totals.files_scanned, totals.findings) == (5, 3) and asked
+    assert watch.late_rows(spark, out) == 1
+    spark.streams.removeListener(listener)
 
 
 def test_totals_as_a_stream(spark, tmp_path):

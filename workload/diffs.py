@@ -55,13 +55,13 @@ SQL["hunks"] = """
 @query(
     "diff_entries",
     with_views(
-        f"""SELECT diff_id, 'app/f' || diff_id || '.py' AS file_path,
+        f"""SELECT diff_id, 'app/f' || diff_id % 7 || '.py' AS file_path,
           {_times('+')} - {_times('+++')} AS lines_added, {_times('-')} - {_times('---')} AS lines_removed FROM diffs""",
         "diffs",
     ),
 )
 def diff_entries(spark, sf_dir):
-    name = F.concat(F.lit("app/f"), F.col("diff_id").cast("string"), F.lit(".py"))
+    name = F.concat(F.lit("app/f"), (F.col("diff_id") % 7).cast("string"), F.lit(".py"))
     rows = diffs(spark, sf_dir).select(
         "diff_id", name.alias("a_path"), F.lit(None).cast("string").alias("b_path"), F.col("diff_text").cast("binary").alias("diff_text")
     )

@@ -11,7 +11,7 @@ from auditweave.operators.chunking import chunk_text
 from auditweave.operators.context import rendered_contexts
 from auditweave.operators.prompts import build_prompts
 from auditweave.plans import review as rv
-from auditweave.plans.scan import diff_prompts, findings_of, scan_prompts
+from auditweave.plans.scan import DIFF_SCOPE, deduplicated_of, diff_prompts, findings_of, scan_prompts
 from workload.base import query, whole
 from workload.context import PROMPT_VIEWS, _prompt_sql, _SRC_CHUNKS, _SRC_LANG, src_prompts
 from workload.diffs import DIFF_CHUNK_VIEWS, MAX_TOKENS as DIFF_TOKENS
@@ -55,7 +55,7 @@ def batch_review(spark, sf_dir):
     files = src_files(spark, sf_dir)
     contexts = rendered_contexts(ctx.empty_snapshot(files))
     prompts = build_prompts(chunk_text(files, MAX_TOKENS, OVERLAP), contexts, ["NONE"])
-    return whole(rv.review(prompts.withColumn("attempt", F.lit(1)), STUB, tasks=8))
+    return whole(rv.review(prompts.withColumn("attempt", F.lit(1)), STUB))
 
 
 # Stored attempts: a prompt was tried as often as the index of its first chunk modulo 4 says, and
@@ -140,13 +140,13 @@ def _answered(prompts):
     return prompts.select("prompt_id", F.lit(1).alias("attempt"), F.expr(_ANSWER).alias("response"), F.lit(None).cast("string").alias("error"))
 
 
-def _expected(chunks: str) -> str:
+def _expected(chunks: str, scope: str = "") -> str:
     return f"""
-      SELECT project, file_path AS source_path, chunk_index, 0 AS item_index, {pick(CLASSES, "line_end")} AS vuln_class,
+      SELECT project, {scope}file_path AS source_path, chunk_index, 0 AS item_index, {pick(CLASSES, "line_end")} AS vuln_class,
              {pick(SEVERITIES, "line_end")} AS severity, {pick(CONFIDENCES, "line_start")} AS confidence, file_path AS file,
              line_start, line_start + 1 AS line_end, 'Start' AS title FROM {chunks}
       UNION ALL
-      SELECT project, file_path, chunk_index, 1, 'IDOR', 'HIGH', {pick(CONFIDENCES, "chunk_index")}, 'shared.py',
+      SELECT project, {scope}file_path, chunk_index, 1, 'IDOR', 'HIGH', {pick(CONFIDENCES, "chunk_index")}, 'shared.py',
              line_start + 6, line_start + 8, 'Shared' FROM {chunks}"""
 
 
@@ -205,24 +205,54 @@ def scanned_findings(spark, sf_dir):
     )
 
 
-SQL["diff_chunk_files"] = """SELECT d.project, h.file_path, c.chunk_index, c.line_start, c.line_end
+SQL["diff_chunk_files"] = """SELECT d.project, diff_id, file_seq, h.file_path, c.chunk_index, c.line_start, c.line_end
   FROM diff_chunk_rows c JOIN diffs d USING (diff_id) JOIN file_heads h USING (diff_id, file_seq)"""
-SQL["diff_found"] = _expected("diff_chunk_files")
-SQL["diff_best"] = _BEST.format("diff_found")
+SQL["diff_found"] = _expected("diff_chunk_files", "diff_id, file_seq, ")
+SQL["diff_best"] = _BEST.format("diff_found").replace("BY project,", "BY project, diff_id,").replace("source_path, chunk", "file_seq, source_path, chunk")
+DIFF_ID = ID.replace("project || chr(31)", "project || chr(31) || diff_id || chr(31)", 1)
+DIFF_VIEWS = (*DIFF_CHUNK_VIEWS, "diff_chunk_files", "diff_found", "diff_best")
+
+
+def diff_answers(spark, sf_dir):
+    """Answers to the prompts of all diffs, with the diff that each belongs to."""
+    changed = diffs(spark, sf_dir)
+    prompts = diff_prompts(changed, ctx.empty_snapshot(changed), max_tokens=DIFF_TOKENS)
+    return rv.replay(prompts, _answered(prompts), rv.DIFF_CARRY)
 
 
 @query(
     "diff_review",
     with_views(
-        f"""SELECT project, file, vuln_class, severity, confidence, CAST(line_start AS bigint) AS line_start,
-            CAST(line_end AS bigint) AS line_end, {ID} AS finding_id FROM diff_best WHERE {RANK} >= 2""",
-        *DIFF_CHUNK_VIEWS, "diff_chunk_files", "diff_found", "diff_best",
+        f"""SELECT project, diff_id, file, vuln_class, severity, confidence, CAST(line_start AS bigint) AS line_start,
+            CAST(line_end AS bigint) AS line_end, {DIFF_ID} AS finding_id FROM diff_best WHERE {RANK} >= 2""",
+        *DIFF_VIEWS,
     ),
 )
 def diff_review(spark, sf_dir):
-    """Diffs to files, packed chunks, prompts, replayed answers and findings without a confidence filter."""
-    changed = diffs(spark, sf_dir)
-    snapshot = ctx.empty_snapshot(changed)
-    prompts = diff_prompts(changed, snapshot, max_tokens=DIFF_TOKENS)
-    found = findings_of(rv.replay(prompts, _answered(prompts)), "LOW", confidence=None)
-    return found.select("project", "file", "vuln_class", "severity", "confidence", "line_start", "line_end", "finding_id")
+    """Diffs to files, packed chunks, prompts, replayed answers and findings, each diff by itself."""
+    found = findings_of(diff_answers(spark, sf_dir), "LOW", confidence=None, diffs=True)
+    return found.select("project", "diff_id", "file", "vuln_class", "severity", "confidence", "line_start", "line_end", "finding_id")
+
+
+@query(
+    "diff_gate",
+    with_views(
+        f"""SELECT project, diff_id, coalesce(blocking, 0) AS blocking, coalesce(blocking, 0) > 0 AS blocked
+            FROM diffs LEFT JOIN (SELECT project, diff_id, count(*) AS blocking FROM diff_best WHERE {RANK} >= 5 GROUP BY project, diff_id)
+            USING (project, diff_id)""",
+        *DIFF_VIEWS,
+    ),
+)
+def diff_gate(spark, sf_dir):
+    """A verdict for every diff."""
+    found = findings_of(diff_answers(spark, sf_dir), "LOW", confidence=None, diffs=True)
+    return ops.gate(found, diffs(spark, sf_dir), "CRITICAL", DIFF_SCOPE)
+
+
+@query(
+    "diff_scanned",
+    with_views("SELECT project, diff_id, count(DISTINCT file) AS files_scanned FROM diff_best GROUP BY project, diff_id", *DIFF_VIEWS),
+)
+def diff_scanned(spark, sf_dir):
+    """Files scanned by each diff review: those with findings before the severity filter."""
+    return ops.files_with_findings(deduplicated_of(diff_answers(spark, sf_dir), diffs=True), DIFF_SCOPE)
