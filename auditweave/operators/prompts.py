@@ -23,8 +23,9 @@ SYSTEM_PROMPT = (
     "file, line_start, line_end, title, description, impact, reproduction and fix."
 )
 EXPLAIN_SYSTEM_PROMPT = (
-    "You write vulnerability reports for developers and security engineers. Be exact, be concrete,\n"
-    "do not hedge, and answer in markdown."
+    "A code review has confirmed a defect. Turn it into a document that a team can act on without asking\n"
+    "back: every claim names the code or the request that supports it, and open questions are said to be\n"
+    "open. Format: markdown."
 )
 OUTPUT_RULE = (
     "Answer with a JSON array of findings only, without prose or code fences; [] if there are none.\n"
@@ -34,13 +35,13 @@ OUTPUT_RULE = (
 GUIDANCE_TITLE = "=== VULNERABILITY ANALYSIS GUIDANCE ==="
 OUTPUT_TITLE = "=== OUTPUT INSTRUCTION ==="
 EXPLAIN_SECTIONS = {
-    "Executive Summary": "The risk in two or three sentences for a reader without technical background.",
-    "Technical Analysis": "The cause, with reference to the code that creates it.",
-    "Attack Scenario": "The attack step by step, with calls, parameters and results.",
-    "Proof of Concept": "Requests or code that show the defect.",
-    "Business Impact": "Data and systems at risk, and rules that may be broken.",
-    "Remediation": "The code before and after the fix, and why the fix holds.",
-    "Verification": "A test that proves the defect is gone.",
+    "Executive Summary": "Who is affected, how bad it is and what has to happen by when; no terms of the trade.",
+    "Technical Analysis": "The lines at fault, the assumption that they make and the input that breaks it.",
+    "Attack Scenario": "Numbered steps of one attacker: starting rights, each call with its values, what it yields.",
+    "Proof of Concept": "The smallest script or request that shows the defect on a test system, and its expected output.",
+    "Business Impact": "Records, accounts and functions within reach, how many, and duties of notice that follow.",
+    "Remediation": "A patch as a diff, places of the same pattern to check, and what the patch leaves open.",
+    "Verification": "One automated test that fails now and passes after the patch, and one for regular use.",
 }
 
 

@@ -16,6 +16,7 @@ STORED_RESPONSES = T.StructType([*vocab.RESPONSES.fields, T.StructField("run_id"
 BUCKETS = 4
 Reviewer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CHUNK_KEYS = ("project", "file_path", "chunk_index")
+FINDING_KEYS = ("project", "finding_id")
 DIFF_CARRY = ("diff_id", "file_seq")
 DIFF_CHUNK_KEYS = ("project", *DIFF_CARRY, "chunk_index")
 
@@ -153,6 +154,13 @@ def observed(responses: DataFrame, progress: Observation) -> DataFrame:
     )
 
 
+def progress_of(responses: DataFrame) -> DataFrame:
+    """The counts of :func:`observed` as a table, one row per attempt number."""
+    return responses.groupBy("attempt").agg(
+        F.count_if(F.col("response").isNotNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed")
+    )
+
+
 def answers(responses: DataFrame) -> DataFrame:
     """The last given answer per prompt."""
     given = responses.filter(F.col("response").isNotNull())
@@ -185,3 +193,9 @@ def replay(prompts: DataFrame, responses: DataFrame, carry: Sequence[str] = ())
     """
     keys = prompts.select("project", *carry, "file_path", "chunk_index", "line_start", "prompt_id")
     return keys.join(answers(responses), "prompt_id").drop("prompt_id")
+
+
+def explained(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The report text of each explained finding: project, finding_id, report."""
+    rows = requests.select("project", "finding_id", "prompt_id").join(answers(responses), "prompt_id")
+    return rows.select("project", "finding_id", F.col("response").alias("report"))

@@ -7,13 +7,24 @@ from auditweave import vocab
 from auditweave.functions import text
 
 
+def _resolved(spark: SparkSession, root: str) -> str:
+    """``root`` as the scan names it: absolute, with its scheme, ending in a slash."""
+    if any(c in root for c in "*?[]{}"):
+        raise ValueError(f"a root is one directory, not a pattern: {root}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    return place.toString().rstrip("/") + "/"
+
+
 def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """Every file below ``root`` with undecoded ``raw`` content.
+    """Every file below the directory ``root`` with undecoded ``raw`` content.
 
     Without a ``project`` name the first directory below the root names it. Filters on
-    ``size_bytes`` reach the scan, and a plan that does not use ``raw`` opens no file.
+    ``size_bytes`` reach the scan, and a plan that does not use ``raw`` opens no file. Files that
+    cannot be read have no row; :func:`tree_errors` names them. The driver lists the files, so trees
+    of thousands of projects fit; beyond that keep the files in a table.
     """
-    base = root.rstrip("/") + "/"
+    base = _resolved(spark, root)
     rows = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -21,7 +32,9 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    inside = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
+    wrong = F.raise_error(F.concat(F.col("path"), F.lit(f" is not below {base}")))
+    relative = F.when(F.startswith("path", F.lit(base)), inside).otherwise(wrong)
     if project is None:
         name = F.substring_index(relative, "/", 1)
         path = F.substring(relative, F.length(name) + 2, F.length(relative))
@@ -35,6 +48,12 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
     )
 
 
+def tree_errors(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+    """One error row per file below ``root`` that the listing has and the scan cannot read."""
+    listing = read_tree(spark, root, project).select("project", "path")
+    return read_errors(listing, read_tree(spark, root, project).select("project", "path", F.col("raw").alias("content")))
+
+
 def refusal(path: Column, size: Column, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> Column:
     """Why a file is not reviewed, or null."""
     reason = F.when(~text.is_code(path), F.lit("extension")).when(text.in_skipped_dir(path), F.lit("directory"))

@@ -29,21 +29,21 @@ def marker_dirs(paths: DataFrame, markers=vocab.ROOT_MARKERS) -> DataFrame:
 def nearest_roots(paths: DataFrame, markers: DataFrame) -> DataFrame:
     """Deepest ancestor directory of each path that is listed in ``markers(dir)``, else ``/``.
 
-    Ancestors near the top are shared by almost all paths, hence the size-checked lookup.
+    Each directory is resolved once, and its files take its answer. Ancestors near the top are shared
+    by almost all directories, hence the size-checked lookup.
     """
-    segments = F.split("path", "/", -1)
-    ancestors = F.when(
-        F.size(segments) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(segments) - 1),
-            lambda depth: F.struct(depth.alias("depth"), F.array_join(F.slice(segments, 1, depth), "/").alias("dir")),
-        ),
+    above = F.regexp_extract("path", r"(?s)^(.*)/", 1)
+    placed = paths.select("path", F.when(F.contains("path", F.lit("/")), above).alias("_dir"))
+    segments = F.split("_dir", "/", -1)
+    ancestors = F.transform(
+        F.sequence(F.lit(1), F.size(segments)),
+        lambda depth: F.struct(depth.alias("depth"), F.array_join(F.slice(segments, 1, depth), "/").alias("dir")),
     )
-    climbed = paths.select("path", F.explode_outer(ancestors).alias("a")).select("path", "a.depth", "a.dir")
-    hits = lookup_join(climbed, markers.select("dir", F.lit(True).alias("_mark")), "dir", "left", spread=["path"])
-    best = F.max(F.when(F.col("_mark"), F.col("depth")))
-    deepest = hits.groupBy("path").agg(best.alias("_depth"))
-    root = F.array_join(F.slice(F.split("path", "/", -1), 1, F.col("_depth")), "/")
-    return deepest.select(
+    dirs = placed.filter(F.col("_dir").isNotNull()).select("_dir").distinct()
+    climbed = dirs.select("_dir", F.explode(ancestors).alias("a")).select("_dir", "a.depth", "a.dir")
+    hits = lookup_join(climbed, markers.select("dir", F.lit(True).alias("_mark")), "dir", "left", spread=["_dir"])
+    deepest = hits.groupBy("_dir").agg(F.max(F.when(F.col("_mark"), F.col("depth"))).alias("_depth"))
+    root = F.array_join(F.slice(segments, 1, F.col("_depth")), "/")
+    return placed.join(deepest, "_dir", "left").select(
         "path", F.when(F.coalesce(root, F.lit("")) == "", F.lit("/")).otherwise(root).alias("root")
     )

@@ -20,10 +20,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Where it has fewer files than the cluster has threads, its rows are spread."""
+    """A given table. Where its scan has fewer tasks than the cluster has threads, its rows are spread."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     threads = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= threads else rows.repartition(threads)
+    return rows if rows.rdd.getNumPartitions() >= threads else rows.repartition(threads)
 
 
 def whole(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from auditweave import vocab
 from auditweave.operators import findings as ops
 from auditweave.sinks import reports
+from auditweave.sources.reports import report_findings
 from auditweave.streaming import watch
 from workload.base import query, whole
 from workload.findings import DEDUP_VIEWS, ID, RANK, deduped
@@ -68,6 +70,14 @@ def finding_arrays(spark, sf_dir):
     return reports.documents(reports.finding_arrays(severe(spark, sf_dir), scanned(spark, sf_dir)))
 
 
+@query("report_round_trip", with_views(f"SELECT project, finding_id, {', '.join(_FIELDS)} FROM severe", *REPORT_VIEWS))
+def report_round_trip(spark, sf_dir):
+    """Findings to a report and, read as an earlier report, back to findings."""
+    whole_reports = reports.documents(reports.json_reports(severe(spark, sf_dir), scanned(spark, sf_dir)))
+    again = whole_reports.select("project", F.from_json("document", vocab.REPORT).alias("r")).select("project", "r.*")
+    return whole(report_findings(again).select("project", "finding_id", *_FIELDS))
+
+
 @query(
     "sarif_results",
     with_views(f"SELECT project, finding_id, CAST(to_json({_RESULT}) AS varchar) AS result FROM deduped", *DEDUP_VIEWS),

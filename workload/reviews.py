@@ -1,22 +1,23 @@
 """Queries over whole reviews: stubbed batch calls, retries, replay, scans of projects and diffs."""
 
 import json
+import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 
+from auditweave.functions import text
 from auditweave.operators import context as ctx
 from auditweave.operators import findings as ops
 from auditweave.operators.chunking import chunk_text
 from auditweave.operators.context import rendered_contexts
-from auditweave.operators.prompts import build_prompts
+from auditweave.operators.prompts import EXPLAIN_SYSTEM_PROMPT, build_prompts, explain_prompts
 from auditweave.plans import review as rv
 from auditweave.plans.scan import DIFF_SCOPE, deduplicated_of, diff_prompts, findings_of, scan_prompts
 from workload.base import query, whole
 from workload.context import PROMPT_VIEWS, _prompt_sql, _SRC_CHUNKS, _SRC_LANG, src_prompts
 from workload.diffs import DIFF_CHUNK_VIEWS, MAX_TOKENS as DIFF_TOKENS
 from workload.files import CHUNK_VIEWS, MAX_TOKENS, OVERLAP, _STRIPPED
-from workload.findings import COUNTS, ID, RANK
+from workload.findings import COUNTS, DEDUP_VIEWS, ID, RANK, deduped
 from workload.views import CLASSES, CONFIDENCES, SEVERITIES, SQL, diffs, pick, src_files, with_views
 
 # --- a reviewer without a model ----------------------------------------------------------------
@@ -124,6 +125,54 @@ def replayed_answers(spark, sf_dir):
     return whole(rv.replay(prompts, _stored(prompts)).drop("line_start"))
 
 
+@query(
+    "review_progress",
+    with_views(
+        """SELECT CAST(attempt AS bigint) AS attempt, count(*) FILTER (ok AND attempt = first % 4) AS answered,
+                  count(*) FILTER (NOT (ok AND attempt = first % 4)) AS failed
+           FROM (SELECT *, unnest(range(1, first % 4 + 1)) AS attempt FROM prompt_ids) GROUP BY attempt""",
+        *STORED_VIEWS,
+    ),
+)
+def review_progress(spark, sf_dir):
+    """Answers and failures of each attempt."""
+    return whole(rv.progress_of(_stored(_bare_prompts(spark, sf_dir))))
+
+
+def _reporting_client():
+    """Answers a report request with the id of its finding."""
+
+    def call(system: str, prompt: str) -> str:
+        return "# Report on " + json.loads(prompt.split("```json\n", 1)[1].split("\n```", 1)[0])["id"]
+
+    return call
+
+
+@query(
+    "explain_answers",
+    with_views(
+        "SELECT project, finding_id, '# Report on ' || finding_id AS report FROM deduped", *DEDUP_VIEWS
+    ),
+)
+def explain_answers(spark, sf_dir):
+    """The report of every finding: requests, a reviewer without a model, texts by finding."""
+    requests = explain_prompts(deduped(spark, sf_dir))
+    answered = rv.review(requests.withColumn("attempt", F.lit(1)), rv.per_prompt(_reporting_client, EXPLAIN_SYSTEM_PROMPT))
+    return rv.explained(requests, answered)
+
+
+@query(
+    "exact_tokens",
+    with_views(
+        "SELECT project, path, CAST(len(regexp_extract_all(content, '[A-Za-z]+')) AS bigint) AS tokens FROM src_files", "src_files"
+    ),
+)
+def exact_tokens(spark, sf_dir):
+    """Tokens of every file by a user's own encoder, here runs of letters."""
+    counter = text.EncodedTokens(lambda: re.compile("[A-Za-z]+").findall)
+    return src_files(spark, sf_dir).select("project", "path", counter.of(F.col("content")).alias("tokens"))
+
+
 # --- whole scans ---------------------------------------------------------------------------------
 
 # A stored answer per prompt: one finding at the start of the chunk, one that overlapping chunks
