@@ -5,14 +5,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditweave import vocab
 from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, stored
 
-STORED_RESPONSES = T.StructType([*vocab.RESPONSES.fields, T.StructField("run_id", T.StringType())])
+#: Answers are stored in folders by the start of their prompt_id, so that few prompts read few of them.
+STORED_RESPONSES = T.StructType(
+    [*vocab.RESPONSES.fields, T.StructField("run_id", T.StringType()), T.StructField("prefix", T.StringType())]
+)
 BUCKETS = 4
 Reviewer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CHUNK_KEYS = ("project", "file_path", "chunk_index")
@@ -120,7 +123,7 @@ def review_to_table(
     asked = stored(asked_prompts(prompts, keys), "asked-prompts")
     texts = None
     for _ in range(max_attempts):
-        open_ = stored(open_prompts(asked, read_responses(spark, path), max_attempts, run_id), "open-prompts")
+        open_ = stored(open_prompts(asked, responses_to(asked, path), max_attempts, run_id), "open-prompts")
         if open_.isEmpty():
             break
         if texts is None:
@@ -131,8 +134,20 @@ def review_to_table(
             part = with_texts(texts.filter(F.col("_bucket") == number), open_, keys)
             if not part.isEmpty():
                 answered = review(part, reviewer, tasks)
-                answered.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
-    return read_responses(spark, path)
+                answered = answered.withColumns({"run_id": F.lit(run_id), "prefix": _prefix()})
+                answered.write.mode("append").partitionBy("prefix").parquet(path)
+    return responses_to(asked, path)
+
+
+def _prefix() -> Column:
+    return F.concat(F.lit("p"), F.substring("prompt_id", 1, 2))
+
+
+def responses_to(asked: DataFrame, path: str) -> DataFrame:
+    """The stored answers to ``asked`` (prompt_id): other folders are not read, other rows not aggregated."""
+    prefixes = [r[0] for r in asked.select(_prefix()).distinct().collect()]  # two hexadecimal digits: 256 at most
+    known = read_responses(asked.sparkSession, path).filter(F.col("prefix").isin(prefixes))
+    return known.join(asked.select("prompt_id"), "prompt_id", "left_semi")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

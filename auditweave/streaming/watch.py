@@ -117,8 +117,8 @@ def review_changed(
 
 def watch(
     changes: DataFrame,
-    files: Callable[[], DataFrame],
-    snapshot: Callable[[], DataFrame],
+    files: Callable[[list[str]], DataFrame],
+    snapshot: Callable[[list[str]], DataFrame],
     reviewer: Reviewer,
     out: str,
     name: str = "watch",
@@ -129,7 +129,8 @@ def watch(
     """A writer for ``start()`` that reviews changed files batch by batch into tables below ``out``.
 
     Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in the session, so that a
-    hot path sends one row from each input partition. ``files`` and ``snapshot`` give the current tables. A repeated batch overwrites its own
+    hot path sends one row from each input partition. ``files`` and ``snapshot`` give the current tables
+    of the projects in which something fired, so that a batch reads their partitions only. A repeated batch overwrites its own
     directory and finds its answers already stored, so nothing is counted or asked twice.
     """
     spark = changes.sparkSession
@@ -139,7 +140,8 @@ def watch(
         try:
             scans = fired.groupBy("project").agg(F.count("*").alias("files_scanned"))
             scans.write.mode("overwrite").parquet(f"{out}/scans/batch_id={batch_id}")
-            found = review_changed(fired, files(), snapshot(), reviewer, f"{out}/responses", **options)
+            projects = [r["project"] for r in fired.select("project").distinct().collect()]
+            found = review_changed(fired, files(projects), snapshot(projects), reviewer, f"{out}/responses", **options)
             found.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
         finally:
             fired.unpersist()

@@ -249,6 +249,18 @@ def test_a_job_that_dies_keeps_finished_buckets(spark, tmp_path):
     assert got.count() == 24 and len(list(calls.iterdir())) - asked == 24 - before
 
 
+def test_few_prompts_read_few_answers(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    rows = spark.range(300).selectExpr("sha2(cast(id AS string), 256) AS prompt_id", "1 AS attempt", "'[]' AS response", "null AS error", "'r' AS run_id")
+    rows.withColumn("prefix", rv._prefix()).write.partitionBy("prefix").parquet(path)
+    one = spark.range(1).selectExpr("sha2(cast(id AS string), 256) AS prompt_id")
+    chosen = rv.responses_to(one, path)
+    assert chosen.count() == 1
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "prefix" in filters
+
+
 def test_diffs_keep_their_scope(spark):
     rows = [("p", d, 0, "x.py", 0, 1, json.dumps([item(file="")])) for d in (1, 2)] + [("p", 2, 1, "x.py", 0, 1, json.dumps([item(file="")]))]
     answered = spark.createDataFrame(rows, "project string, diff_id long, file_seq int, file_path string, chunk_index int, line_start int, response string")

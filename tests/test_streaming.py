@@ -83,13 +83,13 @@ def test_watch_reviews_changed_files(spark, tmp_path):
 
         return call
 
-    def current():
-        asked.append(1)
-        return files
+    def current(projects):
+        asked.append(projects)
+        return files.where(F.col("project").isin(projects))
 
     def run():
         writer = watch.watch(
-            stream(spark, folder), current, lambda: ctx.empty_snapshot(files), rv.per_prompt(client, "s"), out,
+            stream(spark, folder), current, lambda projects: ctx.empty_snapshot(files), rv.per_prompt(client, "s"), out,
             name=name, lateness="0 seconds", severity="MEDIUM",
         )
         query = writer.trigger(availableNow=True).start()
