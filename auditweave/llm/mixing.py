@@ -102,9 +102,12 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
     return rows.select("row", "size", "source_size", "target", taken.alias("taken"), F.filter(epochs, lambda e: e["words"] > 0).alias("epochs"))
 
 
-def range_sorted(rows: DataFrame, by: Column) -> DataFrame:
-    """Rows in ranges of ``by``, sorted within each range: the order in which training reads them."""
-    return rows.repartitionByRange(by).sortWithinPartitions(by)
+def range_sorted(rows: DataFrame, *by: Column) -> DataFrame:
+    """Rows in ranges of ``by``, sorted within each range: the order in which training reads them.
+
+    Further columns after the position split ranges of equal or missing positions.
+    """
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:

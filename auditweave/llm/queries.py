@@ -67,7 +67,7 @@ def op3_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     first = F.round(F.get("epochs", F.lit(0))["position"], 9)
     rows = mixing.mix(docs, F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
-    return mixing.range_sorted(rows, F.col("first_position"))
+    return mixing.range_sorted(rows, F.col("first_position"), F.xxhash64("doc_id"))
 
 
 @query("op5_neighbours")
