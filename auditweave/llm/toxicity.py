@@ -18,6 +18,7 @@ SAMPLE_ROWS = {1: 5_000, 0: 10_000}
 CANDIDATES = 50_000
 ENTRIES = 4_000
 PREFIXES = range(3, 9)
+LEAST_WEIGHT = 2.2
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,|\n]|[\"“”„«»]")
 BREAKS = frozenset(".!?;:,|\n")
@@ -203,49 +204,56 @@ class Scorer:
         return np.log1p(out)
 
 
-def _parts_of(text: str) -> set[str]:
-    """Words ("w...") and beginnings of longer words ("p...") of a text."""
-    words = set(TOKEN.findall(text.lower()))
-    return {"w" + w for w in words} | {"p" + w[:n] for w in words for n in PREFIXES if len(w) > n}
-
-
-def _counts(texts: DataFrame, among: frozenset | None = None) -> DataFrame:
-    """In how many texts each part occurs, counted in each partition before the shuffle."""
+def _counts(texts: DataFrame, parts_of: Callable[[set[str]], set[str]]) -> DataFrame:
+    """In how many texts each part of their words occurs, counted in each partition before the shuffle."""
 
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = _parts_of(text)
-                counts.update(found if among is None else found & among)
+                counts.update(parts_of(set(TOKEN.findall(text.lower()))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["part", "n"])
 
     return texts.select("text").mapInArrow(run, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(texts: DataFrame, candidates: int = CANDIDATES, entries: int = ENTRIES) -> Lexicon:
-    """Words and beginnings that toxic texts have far more often than others.
+def _telling(texts: DataFrame, parts_of: Callable[[set[str]], set[str]], sizes: dict[int, int], candidates: int, entries: int) -> dict[str, float]:
+    """The best ``entries`` parts by weight and use that toxic texts have far more often than others.
 
-    ``texts`` (text, toxic) is a bounded sample. The weight is the log ratio of the smoothed rates, less
-    one standard error; entries have at least twice the rate after that, and the best ``entries`` stay.
+    The weight is the log ratio of the smoothed rates less one standard error.
     """
-    sizes = dict(texts.groupBy("toxic").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(3, toxic // 200)
-    often = _counts(texts.where("toxic = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(candidates)
+    least = max(3, toxic // 100)
+    often = _counts(texts.where("toxic = 1"), parts_of).where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(candidates)
     bad = {r["part"]: r["n"] for r in often.collect()}
     among = frozenset(bad)
-    good = {r["part"]: r["n"] for r in _counts(texts.where("toxic = 0"), among).collect()}
+    good = {r["part"]: r["n"] for r in _counts(texts.where("toxic = 0"), lambda words: parts_of(words) & among).collect()}
     weights = {}
     for part, n in bad.items():
         m = good.get(part, 0)
         ratio = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1))
         weight = ratio - math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if weight > math.log(4) and n > 2 * m * toxic / max(1, clean):
+        if weight > LEAST_WEIGHT:
             weights[part] = weight
     best = sorted(weights, key=lambda p: (-weights[p] * bad[p], p))[:entries]
-    return Lexicon({p[1:]: weights[p] for p in best if p[0] == "w"}, {p[1:]: weights[p] for p in best if p[0] == "p"})
+    return {p: weights[p] for p in best}
+
+
+def learn_lexicon(texts: DataFrame, candidates: int = CANDIDATES, entries: int = ENTRIES) -> Lexicon:
+    """Words, and beginnings of other words, that toxic texts have far more often than others.
+
+    ``texts`` (text, toxic) is a bounded sample. Words come first; a beginning has to tell by words that
+    are not among them, so that one insult does not accuse all words that begin like it.
+    """
+    sizes = dict(texts.groupBy("toxic").count().collect())
+    words = _telling(texts, lambda own: own, sizes, candidates, entries)
+    known = frozenset(words)
+
+    def beginnings(own: set[str]) -> set[str]:
+        return {w[:n] for w in own - known for n in PREFIXES if len(w) > n}
+
+    return Lexicon(words, _telling(texts, beginnings, sizes, candidates, entries))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 30) -> np.ndarray:
