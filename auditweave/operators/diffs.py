@@ -169,7 +169,7 @@ def _pack(hunks: Column, tokens: Column, max_tokens: int) -> Column:
             next_start = F.get(hunks, following)["line_start"]
             return F.struct(
                 i.alias("chunk_index"),
-                F.when(i == 0, F.lit(1).cast("long")).otherwise(F.get(hunks, first)["line_start"]).alias("line_start"),
+                F.get(hunks, first)["line_start"].alias("line_start"),
                 F.coalesce(next_start - 1, F.get(hunks, following - 1)["line_end"]).alias("line_end"),
                 F.array_join(F.transform(own, lambda h: h["hunk_text"]), "\n").alias("content"),
             )

@@ -85,7 +85,7 @@ def test_hunks_are_packed_in_order(spark):
         rows = ops.chunk_diffs(files(spark, diff), 30, counter=counter).orderBy("chunk_index").collect()
         assert [r.content.count("@@ -") for r in rows] == [len(g) for g in groups]
         firsts = [100 + 10 * g[0] for g in groups]
-        assert [r.line_start for r in rows] == [1, *firsts[1:]]
+        assert [r.line_start for r in rows] == firsts
         assert [r.line_end for r in rows] == [f - 1 for f in firsts[1:]] + [170]
         assert {r.total_chunks for r in rows} == {len(groups)}
 

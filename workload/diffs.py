@@ -135,7 +135,7 @@ SQL["packed"] = f"""
                  list(hunk_seq ORDER BY hunk_seq) AS hunk_seqs FROM hunks GROUP BY diff_id, file_seq))"""
 SQL["packed_chunks"] = """
   SELECT *, coalesce(lead(first_start) OVER w - 1, last_end) AS line_end,
-         CASE grp WHEN 0 THEN 1 ELSE first_start END AS line_start,
+         first_start AS line_start,
          count(*) OVER (PARTITION BY diff_id, file_seq) AS total FROM (
     SELECT diff_id, file_seq, grp, arg_min(line_start, hunk_seq) AS first_start, arg_max(h.line_end, hunk_seq) AS last_end,
            string_agg(hunk_text, chr(10) ORDER BY hunk_seq) AS content
