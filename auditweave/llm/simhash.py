@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import map_texts
+from auditweave.llm.base import map_texts, packed_rows, unpacked_rows
 from auditweave.llm.components import components
 from auditweave.plans.joins import stored
 
@@ -156,6 +156,7 @@ def close_links(codes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """
     rows = _exploded(codes, F.array(*[F.lit(_signed(m)) for m in _masks()]))
     sizes = rows.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    sizes = stored(sizes, "patterns")  # a join with a stored table can split a large group
     rows = rows.join(sizes, ["mask", "pattern"])
     finer = F.lit(None)
     for m in _masks():
@@ -198,14 +199,14 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     All columns stay. Of repeated rows with that id one stays; groups without any id keep one row.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    marked = fingerprinted(rows, "text").drop("text")
+    pair = F.concat_ws(":", F.hex("fingerprint"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    marked = fingerprinted(packed_rows(docs, "doc_id"), "text").withColumn("pair", pair)
     ids = stored(marked.select("doc_id", "fingerprint"), "simhash")
     groups = near_groups(ids)
     winners = ids.distinct().join(groups, "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = Window.partitionBy("group").orderBy("fingerprint")
-    winners = winners.withColumn("place", F.row_number().over(first)).where("place = 1").select(
-        F.col("doc_id").alias("of_id"), F.col("fingerprint").alias("of_print"))
-    kept = marked.join(winners, (F.col("fingerprint") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
-    one = Window.partitionBy("fingerprint", "doc_id").orderBy(F.xxhash64("row"))
-    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")
+    winners = winners.withColumn("place", F.row_number().over(first)).where("place = 1").select(pair.alias("pair"))
+    # Join and window share one partitioning, so texts are shuffled once.
+    one = Window.partitionBy("pair").orderBy(F.xxhash64("row", "text"))
+    kept = marked.join(winners, "pair", "left_semi").withColumn("place", F.row_number().over(one))
+    return unpacked_rows(kept.where("place = 1"), docs)
