@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import map_texts
+from auditweave.llm.base import map_texts, packed_rows, unpacked_rows
 
 #: Rows per language that a model is fitted on, and languages that it has, at most.
 SAMPLE_ROWS = 400
@@ -17,6 +17,9 @@ LANGUAGES = 64
 ROUNDS = 4
 PIECE_CHARS = 8
 RUN_CHARS = 24
+#: Words of a fit whose lattices are held at once, and characters of a task's texts.
+EM_WORDS = 5_000
+BATCH_CHARS = 2_000_000
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -113,12 +116,15 @@ class PieceModel:
     def lattice(self) -> Lattice:
         return Lattice(self.pieces)
 
-    def by_length(self, words: list[str]):
+    def by_length(self, words: list[str], most: int = 20_000):
+        """Numbers and codes of words of the same length, ``most`` at a time."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for size in np.unique(sizes):
-            chosen = np.flatnonzero(sizes == size)
-            flat = np.frombuffer("".join(words[i] for i in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            yield chosen, self.lattice.codes[flat].reshape(-1, size)
+            every = np.flatnonzero(sizes == size)
+            for begin in range(0, len(every), most):
+                chosen = every[begin : begin + most]
+                flat = np.frombuffer("".join(words[i] for i in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                yield chosen, self.lattice.codes[flat].reshape(-1, size)
 
     def forward(self, words: np.ndarray, arcs) -> np.ndarray:
         """Probability of every beginning of every word: the sum over the pieces that may come last."""
@@ -136,15 +142,13 @@ class PieceModel:
         """Log probability of each run of letters in each language."""
         out = np.zeros((len(words), len(self.languages)))
         for chosen, codes in self.by_length(words):
-            for part in range(0, len(chosen), 20_000):
-                own = codes[part : part + 20_000]
-                out[chosen[part : part + 20_000]] = np.log(self.forward(own, self.lattice.arcs(own))[-1])
+            out[chosen] = np.log(self.forward(codes, self.lattice.arcs(codes))[-1])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in each language, over all segmentations."""
         total = np.zeros_like(self.probabilities)
-        for chosen, codes in self.by_length(words):
+        for chosen, codes in self.by_length(words, EM_WORDS):
             arcs = self.lattice.arcs(codes)
             alpha = self.forward(codes, arcs)
             beta = np.zeros_like(alpha)
@@ -167,10 +171,10 @@ class PieceModel:
         certain = [0.0] * len(texts)
         if not known or not self.languages:
             return names, certain
-        parts = [runs(word) for word in known]
-        scores = self.score_words([run for own in parts for run in own])
-        if len(scores) > len(parts):
-            scores = np.add.reduceat(scores, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+        scores = self.score_words([START + word[: RUN_CHARS - 1] for word in known])
+        for word, number in known.items():
+            if len(word) >= RUN_CHARS:
+                scores[number] = self.score_words(runs(word)).sum(axis=0)
         for i, own in enumerate(ids):
             if len(own):
                 logs = np.log(self.priors)
@@ -241,11 +245,10 @@ def identified(docs: DataFrame, model: PieceModel, column: str = "text", names:
 
         return compute
 
-    return map_texts(docs, column, f"{names[0]} string, {names[1]} double", worker)
+    return map_texts(docs, column, f"{names[0]} string, {names[1]} double", worker, BATCH_CHARS)
 
 
 def in_known_languages(docs: DataFrame, model: PieceModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is determined with probability ``least`` or more, all columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    rows = identified(rows, model)
-    return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    rows = identified(packed_rows(docs), model)
+    return unpacked_rows(rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)), docs)
