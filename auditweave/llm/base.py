@@ -1,12 +1,15 @@
 """Small helpers that the operators of this subpackage share."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.plans.joins import shared_folder
+
 HELD_OUT = 2
 
 
@@ -28,18 +31,53 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted as soon as what was made of them is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
+def packed_rows(docs: DataFrame, *also: str) -> DataFrame:
+    """``docs`` as the columns text, ``row`` (all others in a struct) and ``also``; names in it clash with nothing."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("row"), F.col("text").alias("text"), *[F.col(f"`{c}`").alias(c) for c in also])
+
+
+def unpacked_rows(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again from :func:`packed_rows`, with another ``text`` if given."""
+    text = F.col("text") if text is None else text
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def map_texts(
     df: DataFrame,
     column: str,
     added: str,
     worker: Callable[[], Callable[[list], list[pa.Array]]],
-    max_chars: int = 16_000_000,
+    max_chars: int = 4_000_000,
 ) -> DataFrame:
     """``df`` and the columns ``added`` (a DDL text) that ``worker()`` computes from lists of texts.
 
     The worker is made once in each task. Lists hold ``max_chars`` characters at most, or one text.
+    Columns of ``df`` that are called like the added ones are replaced by them.
     """
     names = [f.strip().split(" ")[0] for f in added.split(",")]
+    df = df.drop(*[f"`{c}`" if "." in c else c for c in df.columns if c.lower() in names and c != column])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

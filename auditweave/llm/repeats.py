@@ -11,8 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import split_batch
-from auditweave.plans.joins import shared_folder, stored
+from auditweave.llm.base import Scratch, packed_rows, split_batch, unpacked_rows
+from auditweave.plans.joins import stored
 
 LENGTH = 400
 #: Bytes of segments whose suffixes are sorted at once.
@@ -177,7 +177,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(bodies, type=pa.binary())], names=["key", "body"])
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
+def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The different texts of ``docs`` (text) with their number of rows: key, copies, body (compressed).
 
     They are written once, bucketed by key, so that later joins on the key shuffle no text.
@@ -188,7 +188,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     texts = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("body").alias("body"))
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.bucketBy(buckets, "key").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    texts.write.bucketBy(buckets, "key").option("path", scratch.path("texts")).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay; the frame knows its buckets
     return out
@@ -223,13 +223,13 @@ def all_cells(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, CELLS)
 
 
-def recurring(cells: DataFrame) -> DataFrame:
+def recurring(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """The cells whose group has several, counting copies.
 
     The groups are written first: a join with a stored table can split a group with very many cells.
     """
     several = cells.groupBy("group").agg(F.sum("copies").alias("n")).where("n > 1").select("group")
-    return cells.join(stored(several, "groups"), "group")
+    return cells.join(scratch.stored(several, "groups"), "group")
 
 
 def with_texts(cells: DataFrame, texts: DataFrame, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -331,7 +331,7 @@ def expanded(classes: DataFrame, texts: DataFrame, length: int, block_bytes: int
     return placed.mapInArrow(run, "group bigint, digest binary, first int, last int")
 
 
-def recurring_starts(texts: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS,
+def recurring_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS,
                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Runs (key, first, last) of starts of strings of ``length`` bytes that also start elsewhere.
 
@@ -340,15 +340,15 @@ def recurring_starts(texts: DataFrame, length: int = LENGTH, group_segments: int
     than ``group_segments`` classes is divided first, at last into groups of equal strings, which need
     counting only; so no group grows with the corpus.
     """
-    cells = stored(all_cells(texts, length), "cells")
+    cells = scratch.stored(all_cells(texts, length), "cells")
     found = None
     for width in (*FINER, None):
-        known = stored(segments_known(recurring(cells), texts, length), "segments")
+        known = scratch.stored(segments_known(recurring(cells, scratch), texts, length), "segments")
         classes = known.groupBy("group", "digest").agg(
             F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "at")).alias("one"))
-        classes = stored(classes, "classes")
-        groups = stored(classes.groupBy("group").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")), "groups")
-        classes = stored(classes.join(groups, "group").select("group", "digest", "n", "classes", "least", "one.*"), "classes")
+        classes = scratch.stored(classes, "classes")
+        groups = scratch.stored(classes.groupBy("group").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")), "groups")
+        classes = scratch.stored(classes.join(groups, "group").select("group", "digest", "n", "classes", "least", "one.*"), "classes")
         large = classes.where(F.col("classes") > group_segments)
         unsettled = classes.where((F.col("classes") <= group_segments) & (F.col("least") == 1))
         recur = expanded(unsettled, texts, length, block_bytes)
@@ -362,20 +362,22 @@ def recurring_starts(texts: DataFrame, length: int = LENGTH, group_segments: int
         if width is None or large.isEmpty():
             return found
         hot = known.join(large.select("group").distinct(), "group")
-        cells = stored(divided(hot, texts, length, width), "cells")
+        cells = scratch.stored(divided(hot, texts, length, width), "cells")
     return found
 
 
 def removed(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS, block_bytes: int = BLOCK_BYTES,
             with_text: bool = False) -> DataFrame:
-    """Per distinct text of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, and kept_text if asked.
+    """Per distinct text of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept_text too,
+    and only texts that lose something.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere (in any text, the same
     included, or in another copy of it) is removed; strings are judged on the input. In ``kept_text`` a
     character whose bytes are cut is left out.
     """
-    texts = distinct_texts(docs)
-    runs = recurring_starts(texts, length, group_segments, block_bytes)
+    scratch = Scratch(docs.sparkSession)
+    texts = distinct_texts(docs, scratch)
+    runs = recurring_starts(texts, scratch, length, group_segments, block_bytes)
     lists = runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def run(batches):
@@ -402,7 +404,9 @@ def removed(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_S
 
     schema = "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
     out = texts.join(lists, "key", "left").mapInArrow(run, schema)
-    return out if with_text else out.drop("kept_text")
+    out = stored(out.where("n_removed > 0") if with_text else out.drop("kept_text"), "removed")
+    scratch.drop()
+    return out
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -418,9 +422,8 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with recurring strings cut from ``text``; rows that lose all their text go. All columns stay."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key("text").alias("key"))
+    rows = packed_rows(docs).withColumn("key", text_key("text"))
     cut = removed(docs.select("text"), length, with_text=True, **options)
-    cut = cut.where("n_removed > 0").select("key", "kept_text")
+    cut = cut.select("key", "kept_text")
     rows = rows.join(cut, "key", "left").where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"\S"))
-    text = F.coalesce("kept_text", F.col("row.text"))
-    return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    return unpacked_rows(rows, docs, F.coalesce("kept_text", F.col("text")))

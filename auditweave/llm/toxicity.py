@@ -325,7 +325,7 @@ def scored(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD)
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier), ``predicted`` (0, 1) and ``matched_clauses``.
 
     Whole texts are read. Nulls and empty texts have no clause and get the score of a text without any.
-    Repeated rows are alike. The frame needs a column text and none of these three names.
+    Repeated rows are alike. Columns of these three names are replaced; others stay.
     """
 
     def worker():
