@@ -205,7 +205,9 @@ def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE
         rounds: int = ROUNDS) -> PieceModel:
     """A model of the languages in ``labelled`` (text, lang), by expectation maximisation on a sample.
 
-    Rows with a null text or lang are passed over. No rows: a model without languages.
+    Pieces with a letter that no sampled text has are left out: they have the same probability in every
+    language, and their letters would widen the lattice's table. Rows with a null text or lang are passed
+    over. No rows: a model without languages.
     """
     pieces = public_pieces() if pieces is None else pieces
     sample = training_sample(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), rows, languages)
@@ -218,6 +220,8 @@ def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE
             for run in runs(word):
                 cell = words.setdefault(run, len(words)), column
                 cells[cell] = cells.get(cell, 0) + 1
+    letters = {c for word in words for c in word}
+    pieces = [p for p in pieces if letters.issuperset(p)]
     counts = np.zeros((len(words), len(names)))
     for (word, column), n in cells.items():
         counts[word, column] = n

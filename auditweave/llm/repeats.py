@@ -16,7 +16,7 @@ from auditweave.plans.joins import stored
 
 LENGTH = 400
 #: Bytes of segments whose suffixes are sorted at once.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: A group of more different segments is divided before its suffixes are sorted.
 GROUP_SEGMENTS = 2_000
 #: Starts to a cell after a group was divided once, and twice.
