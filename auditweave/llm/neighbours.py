@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditweave.plans.joins import stored
+
 SEED = 5
 TABLES = 3
 WIDTH = 1.0
@@ -196,6 +198,7 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, neare
     points = buckets(good, hashing, probing=False)
     visits = buckets(good.where(F.col("vec_id") % every == 0), hashing, probing=True)
     full = points.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    full = stored(full, "buckets")  # a join with a stored table can split a large bucket
     split = full.where("blocks > 1").toDF("table", "bucket", "split_blocks")
     block = F.pmod(F.xxhash64("vec_id"), F.coalesce("split_blocks", F.lit(1))).cast("int")
     points = points.join(split, ["table", "bucket"], "left").select("table", "bucket", block.alias("block"), "vec_id", "v")
