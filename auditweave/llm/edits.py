@@ -203,8 +203,9 @@ def near_documents(prints: DataFrame, least: float = LIKENESS, bands: int = BAND
     """Groups of alike fingerprints: (fingerprint, group) for the distinct ``fingerprint`` texts of ``prints``.
 
     Each band samples ``band_bits`` bits. Fingerprints with the same sampled bits meet, and each is
-    verified against the smallest of its bucket. Those that fail stay, and meet again without it until
-    every bucket is settled; so no bucket is listed, capped or paired as a whole. Nulls are left out.
+    verified against the smallest of its bucket. What that leaves in different components is then
+    verified pair by pair in its buckets, so groups are the connected components of all alike pairs that
+    meet; only alike pairs leave a bucket, and none is capped. Nulls are left out.
     """
     rng = np.random.default_rng((SEED, 2))
     codes = prints.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
@@ -213,16 +214,21 @@ def near_documents(prints: DataFrame, least: float = LIKENESS, bands: int = BAND
     keys = [F.concat_ws("", F.lit(f"{band}:"), *[F.substring("fingerprint", int(i) + 1, 1) for i in rng.choice(BITS // 4, band_bits // 4, replace=False)])
             for band in range(bands)]
     rows = stored(codes.select("fingerprint", "node", F.explode(F.array(*keys)).alias("key")), "bands")
-    links = None
-    while True:
-        leaders = rows.groupBy("key").agg(F.min(F.struct("fingerprint", "node")).alias("lead"), F.count(F.lit(1)).alias("n"))
-        met = rows.join(leaders.where("n > 1"), "key").where("node <> lead.node")
-        alike = 1 - 2 * _hamming(F.col("fingerprint"), F.col("lead.fingerprint")) / BITS >= least
-        met = stored(met.select("fingerprint", "node", "key", F.col("lead.node").alias("to"), alike.alias("alike")), "met")
-        found = met.where("alike").select(F.col("node").alias("a"), F.col("to").alias("b"))
-        links = found if links is None else links.union(found)
-        rows = met.where("NOT alike").select("fingerprint", "node", "key")
-        if rows.isEmpty():
-            break
+    def alike(a: str, b: str) -> Column:
+        return 1 - 2 * _hamming(F.col(a), F.col(b)) / BITS >= least
+
+    leads = rows.groupBy("key").agg(F.min(F.struct("fingerprint", "node")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leads = stored(leads.select("key", "lead"), "leads")  # a join with a stored table can split a large bucket
+    met = stored(rows.join(leads, "key"), "met")
+    found = met.where(F.col("node") != F.col("lead.node")).where(alike("fingerprint", "lead.fingerprint"))
+    links = stored(found.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "alike")
+    known = components(links)
+    placed = met.select("key", "node", "fingerprint").join(known, "node", "left")
+    placed = placed.select("key", "node", "fingerprint", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    placed = stored(placed.join(mixed.select("key"), "key"), "mixed")
+    one, two = placed.toDF("key", "a", "a_print", "of_a"), placed.toDF("of_key", "b", "b_print", "of_b")
+    near = (F.col("key") == F.col("of_key")) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & alike("a_print", "b_print")
+    links = links.unionByName(one.join(two, near).select("a", "b").distinct())
     groups = components(links)
     return codes.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))

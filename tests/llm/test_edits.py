@@ -74,3 +74,35 @@ def test_near_documents(spark):
         assert groups[prints[i]] == groups[prints[20 + i]]
     assert len(set(groups.values())) == 20
     assert edits.near_documents(frame.limit(0)).count() == 0
+
+
+def test_near_documents_keeps_chains(spark):
+    """One bucket holds chains of versions, each alike to the next only; groups are the brute-force components."""
+    rng = np.random.default_rng(4)
+    sampled = np.random.default_rng((edits.SEED, 2)).choice(edits.BITS // 4, 6, replace=False)
+    free = np.setdiff1d(np.arange(edits.BITS), (sampled[:, None] * 4 + np.arange(4)).ravel())
+    prints = []
+    for _ in range(6):
+        bits = np.zeros(edits.BITS, dtype=np.uint8)
+        bits[free] = rng.integers(0, 2, len(free))
+        for _ in range(10):
+            prints.append(np.packbits(bits))
+            bits = bits.copy()
+            bits[rng.choice(free, 40, replace=False)] ^= 1
+    prints = np.array(prints)
+    parent = list(range(len(prints)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in np.flatnonzero(edits.likeness(prints[:i], prints[i]) >= edits.LIKENESS):
+            parent[find(i)] = find(int(j))
+    names = [p.tobytes().hex() for p in prints]
+    groups = dict(map(tuple, edits.near_documents(spark.createDataFrame([(n,) for n in names], "fingerprint string"), bands=1).collect()))
+    assert len({find(i) for i in range(len(names))}) == 6
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            assert (groups[a] == groups[b]) == (find(i) == find(j))
