@@ -2,7 +2,7 @@
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditweave.llm.base import parts_for
 from auditweave.plans.joins import stored
 
 SEED = 5
@@ -175,13 +176,48 @@ def nearest_in_block(points: pd.DataFrame, queries: pd.DataFrame, nearest: int =
     return pd.concat(out).astype(columns) if out else pd.DataFrame({c: pd.Series(dtype=k) for c, k in columns.items()})
 
 
+def in_blocks(points: DataFrame, visits: DataFrame, where: list[str], nearest: int) -> DataFrame:
+    """(query_id, vec_id, score) of the ``nearest`` points of each block ``where`` for each query that visits it."""
+    return points.groupBy(*where).cogroup(visits.groupBy(*where)).applyInPandas(
+        lambda a, b: nearest_in_block(a, b, nearest), "query_id bigint, vec_id bigint, score double")
+
+
+def in_buckets(good: DataFrame, queries: DataFrame, hashing: Hashing, nearest: int, block_rows: int) -> DataFrame:
+    """The best points of every bucket block that ``queries`` probe."""
+    points = buckets(good, hashing, probing=False)
+    visits = buckets(queries, hashing, probing=True)
+    full = points.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    full = stored(full, "buckets")  # a join with a stored table can split a large bucket
+    split = full.where("blocks > 1").toDF("table", "bucket", "split_blocks")
+    block = F.pmod(F.xxhash64("vec_id"), F.coalesce("split_blocks", F.lit(1))).cast("int")
+    points = points.join(split, ["table", "bucket"], "left").select("table", "bucket", block.alias("block"), "vec_id", "v")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    visits = visits.join(full, ["table", "bucket"]).select("table", "bucket", every_block.alias("block"), "vec_id", "v")
+    visits = visits.toDF("table", "bucket", "block", "vec_id", "v")
+    return in_blocks(points, visits, ["table", "bucket", "block"], nearest)
+
+
+def in_all_blocks(good: DataFrame, queries: DataFrame, blocks: int, nearest: int) -> DataFrame:
+    """The best points of every block of all rows for ``queries``, without hashing."""
+    points = good.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    visits = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    return in_blocks(points, visits, ["block"], nearest)
+
+
+def ranked(found: DataFrame, nearest: int) -> DataFrame:
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+
+
 def search(vectors: DataFrame, column: str = "embedding", every: int = 50, nearest: int = NEAREST, tables: int = TABLES,
            hashing: Hashing | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``nearest`` other rows of each row of ``vectors`` (vec_id) whose id ``every`` divides, by largest cosine.
 
     Columns query_id, rank (from 1), vec_id, score. Rows are put into one bucket of each table, queries
     visit the likeliest ones; a bucket of over ``block_rows`` rows is split, and each block keeps its own
-    best for each query before anything is shuffled again.
+    best for each query before anything is shuffled again. Queries that found fewer rows than ``nearest`` are
+    sent alone through coarser buckets with most probes, and at last through all rows.
 
     Nulls: rows with a null id or a null, empty, zero or not finite vector take no part, nor do vectors of
     another length than most. Ties go to the smaller id. Repeated rows count once. Empty table: no rows.
@@ -195,20 +231,19 @@ def search(vectors: DataFrame, column: str = "embedding", every: int = 50, neare
         return empty
     good = good.where(F.size("v") == sizes["dim"])
     hashing = hashing or fit(good, sizes["count"], sizes["dim"], tables)
-    points = buckets(good, hashing, probing=False)
-    visits = buckets(good.where(F.col("vec_id") % every == 0), hashing, probing=True)
-    full = points.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    full = stored(full, "buckets")  # a join with a stored table can split a large bucket
-    split = full.where("blocks > 1").toDF("table", "bucket", "split_blocks")
-    block = F.pmod(F.xxhash64("vec_id"), F.coalesce("split_blocks", F.lit(1))).cast("int")
-    points = points.join(split, ["table", "bucket"], "left").select("table", "bucket", block.alias("block"), "vec_id", "v")
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    visits = visits.join(full, ["table", "bucket"]).select("table", "bucket", every_block.alias("block"), "vec_id", "v")
-    visits = visits.toDF("table", "bucket", "block", "vec_id", "v")
-    where = ["table", "bucket", "block"]
-    found = points.groupBy(*where).cogroup(visits.groupBy(*where)).applyInPandas(
-        lambda a, b: nearest_in_block(a, b, nearest), "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    queries = good.where(F.col("vec_id") % every == 0)
+    found = in_buckets(good, queries, hashing, nearest, block_rows)
+    while True:
+        best = stored(ranked(found, nearest), "nearest")
+        counts = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = queries.select(F.col("vec_id").alias("query_id")).distinct().join(counts, "query_id", "left")
+        short = stored(short.where(F.coalesce("n", F.lit(0)) < nearest), "short")
+        if short.isEmpty() or not short.where(F.coalesce("n", F.lit(0)) < good.select("vec_id").distinct().count() - 1).count():
+            return best.select("query_id", "rank", "vec_id", "score")
+        again = good.join(short, good["vec_id"] == short["query_id"], "left_semi")
+        if hashing.hashes > 1:
+            hashing = replace(hashing, hashes=hashing.hashes // 2, probes=MOST_PROBES)
+            more = in_buckets(good, again, hashing, nearest, block_rows)
+        else:
+            more = in_all_blocks(good, again, parts_for(sizes["count"], block_rows), nearest)
+        found = best.select("query_id", "vec_id", "score").unionByName(more)

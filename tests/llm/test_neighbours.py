@@ -73,3 +73,16 @@ def test_unusable_vectors_and_few_candidates(spark):
     assert list(got) == [0] and [v for v, _ in got[0]] == [1, 3]
     assert neighbours.search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert neighbours.search(spark.createDataFrame([(0, [1.0, 2.0], 1)], SCHEMA)).count() == 0
+
+
+def test_outlying_queries_get_their_full_number(spark):
+    x = clusters(3000, 16, 20, 0.01)
+    x[::50] = clusters(60, 16, 1, 1.0, seed=9)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = found(neighbours.search(frame, hashing=neighbours.Hashing(16, 12, 1, 0.05)).collect())
+    want = brute(np.arange(3000), x)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    for q in want:
+        for v, score in got[q]:
+            size = np.linalg.norm(x[q].astype(float)) * np.linalg.norm(x[v].astype(float))
+            assert score == pytest.approx(x[q].astype(float) @ x[v].astype(float) / size, abs=1e-9)
