@@ -1,6 +1,5 @@
 """Toxicity by a weighted grammar of finite-state transducers over the clauses of a text."""
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -15,8 +14,8 @@ from auditweave.plans.joins import stored
 
 #: Labelled rows that are read for a fit, at most (about), for each label.
 SAMPLE_ROWS = {1: 5_000, 0: 10_000}
-CANDIDATES = 50_000
-ENTRIES = 4_000
+#: Texts that an entry occurs in, at least; chance is left to the standard error of its weight.
+LEAST_TEXTS = 3
 PREFIXES = range(3, 9)
 LEAST_WEIGHT = 2.2
 THRESHOLD = 0.3
@@ -218,42 +217,34 @@ def _counts(texts: DataFrame, parts_of: Callable[[set[str]], set[str]]) -> DataF
     return texts.select("text").mapInArrow(run, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
 
 
-def _telling(texts: DataFrame, parts_of: Callable[[set[str]], set[str]], sizes: dict[int, int], candidates: int, entries: int) -> dict[str, float]:
-    """The best ``entries`` parts by weight and use that toxic texts have far more often than others.
+def _telling(texts: DataFrame, parts_of: Callable[[set[str]], set[str]], sizes: dict[int, int]) -> dict[str, float]:
+    """The weights of all parts that toxic texts have far more often than others.
 
     The weight is the log ratio of the smoothed rates less one standard error.
     """
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(3, toxic // 100)
-    often = _counts(texts.where("toxic = 1"), parts_of).where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(candidates)
-    bad = {r["part"]: r["n"] for r in often.collect()}
-    among = frozenset(bad)
-    good = {r["part"]: r["n"] for r in _counts(texts.where("toxic = 0"), lambda words: parts_of(words) & among).collect()}
-    weights = {}
-    for part, n in bad.items():
-        m = good.get(part, 0)
-        ratio = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1))
-        weight = ratio - math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if weight > LEAST_WEIGHT:
-            weights[part] = weight
-    best = sorted(weights, key=lambda p: (-weights[p] * bad[p], p))[:entries]
-    return {p: weights[p] for p in best}
-
-
-def learn_lexicon(texts: DataFrame, candidates: int = CANDIDATES, entries: int = ENTRIES) -> Lexicon:
+    bad = _counts(texts.where("toxic = 1"), parts_of).where(F.col("n") >= LEAST_TEXTS)
+    good = _counts(texts.where("toxic = 0"), parts_of).withColumnRenamed("n", "m")
+    n, m = F.col("n") + 0.5, F.coalesce("m", F.lit(0)) + 0.5
+    weight = F.log(n / (toxic + 1)) - F.log(m / (clean + 1)) - F.sqrt(1 / n + 1 / m)
+    found = bad.join(good, "part", "left").select("part", weight.alias("weight")).where(F.col("weight") > LEAST_WEIGHT)
+    return dict(sorted(map(tuple, found.collect())))
+
+
+def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Words, and beginnings of other words, that toxic texts have far more often than others.
 
     ``texts`` (text, toxic) is a bounded sample. Words come first; a beginning has to tell by words that
     are not among them, so that one insult does not accuse all words that begin like it.
     """
     sizes = dict(texts.groupBy("toxic").count().collect())
-    words = _telling(texts, lambda own: own, sizes, candidates, entries)
+    words = _telling(texts, lambda own: own, sizes)
     known = frozenset(words)
 
     def beginnings(own: set[str]) -> set[str]:
         return {w[:n] for w in own - known for n in PREFIXES if len(w) > n}
 
-    return Lexicon(words, _telling(texts, beginnings, sizes, candidates, entries))
+    return Lexicon(words, _telling(texts, beginnings, sizes))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -68,3 +68,12 @@ def test_without_labels_and_rows(spark):
     scores = {r.doc_id: r.score for r in T.scored(docs.select("doc_id", "text"), model).collect()}
     assert scores[1] > scores[2]
     assert T.scored(documents(spark, []).select("doc_id", "text"), model).count() == 0
+
+
+def test_more_labelled_rows_remove_no_entry(spark):
+    def entries(toxic):
+        rows = [(f"{prose(i, 5)} {'grubnak' if i < 22 else 'idiot'}", 1) for i in range(toxic)] + [(prose(-i - 1, 5), 0) for i in range(toxic)]
+        return T.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")).words
+
+    assert "grubnak" in entries(200)
+    assert "grubnak" in entries(2_500)
