@@ -2,7 +2,8 @@
 
 import functools
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import map_texts, packed_rows, unpacked_rows
+from auditweave.plans.joins import stored
 
-#: Rows per language that a model is fitted on, and languages that it has, at most.
+#: Rows per language that a model is fitted on.
 SAMPLE_ROWS = 400
-LANGUAGES = 64
 ROUNDS = 4
 PIECE_CHARS = 8
 RUN_CHARS = 24
 #: Words of a fit whose lattices are held at once, and characters of a task's texts.
 EM_WORDS = 5_000
 BATCH_CHARS = 2_000_000
+#: With more languages than this, these lists are shorter in proportion.
+FEW_LANGUAGES = 16
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,9 +119,14 @@ class PieceModel:
     def lattice(self) -> Lattice:
         return Lattice(self.pieces)
 
+    def fewer(self, most: int) -> int:
+        """``most``, or less in proportion to the languages that are many."""
+        return max(1, most * FEW_LANGUAGES // max(FEW_LANGUAGES, len(self.languages)))
+
     def by_length(self, words: list[str], most: int = 20_000):
         """Numbers and codes of words of the same length, ``most`` at a time."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        most = self.fewer(most)
         for size in np.unique(sizes):
             every = np.flatnonzero(sizes == size)
             for begin in range(0, len(every), most):
@@ -186,46 +194,51 @@ class PieceModel:
         return names, certain
 
 
-def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """(lang, text) of about ``rows`` rows of each of the ``languages`` most frequent languages.
+def training_counts(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
+    """Sampled rows of every language, and (lang, run, how often) over about ``rows`` rows of each.
 
     The rows are those with the smallest hashes, by a share that follows from the counts, so the sample
-    is the same in each run and its size does not grow with the table.
+    is the same in each run and its size does not grow with the table. Runs are counted where the texts
+    are; only the counts of different runs reach the driver.
     """
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows / r["count"]))])
+    counts = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("of_rows"))
     draw = F.pmod(F.xxhash64(*labelled.columns), F.lit(1_000_000)) / 1e6
-    picked = labelled.where(draw < share[F.col("lang")])
-    return [(r["lang"], r["text"]) for r in picked.select("lang", "text").limit(2 * rows * len(counts)).collect()]
+    drawn = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(counts), F.col("lang") == F.col("of_lang"))
+    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("of_rows"))
+    picked = stored(drawn.where(F.col("draw") < share).select("lang", "text"), "language")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found.update((lang, run) for word in WORD.findall(text.lower()) for run in runs(word))
+        columns = [pa.array([k[i] for k in found], type=pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), type=pa.int64())], names=["lang", "run", "n"])
+
+    uses = picked.mapInArrow(count, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    return {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}, sorted(map(tuple, uses.collect()))
 
 
-def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES,
-        rounds: int = ROUNDS) -> PieceModel:
-    """A model of the languages in ``labelled`` (text, lang), by expectation maximisation on a sample.
+def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> PieceModel:
+    """A model of every language in ``labelled`` (text, lang), by expectation maximisation on a sample.
 
     Pieces with a letter that no sampled text has are left out: they have the same probability in every
     language, and their letters would widen the lattice's table. Rows with a null text or lang are passed
     over. No rows: a model without languages.
     """
     pieces = public_pieces() if pieces is None else pieces
-    sample = training_sample(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), rows, languages)
-    names = sorted({lang for lang, _ in sample})
+    sampled, uses = training_counts(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), rows)
+    names = sorted(sampled)
+    columns = {name: i for i, name in enumerate(names)}
     words: dict[str, int] = {}
-    cells: dict[tuple[int, int], int] = {}
-    for lang, text in sample:
-        column = names.index(lang)
-        for word in WORD.findall(text.lower()):
-            for run in runs(word):
-                cell = words.setdefault(run, len(words)), column
-                cells[cell] = cells.get(cell, 0) + 1
+    for _, run, _ in uses:
+        words.setdefault(run, len(words))
     letters = {c for word in words for c in word}
     pieces = [p for p in pieces if letters.issuperset(p)]
     counts = np.zeros((len(words), len(names)))
-    for (word, column), n in cells.items():
-        counts[word, column] = n
-    docs = np.array([sum(lang == name for lang, _ in sample) for name in names], dtype=float)
+    for lang, run, n in uses:
+        counts[words[run], columns[lang]] = n
+    docs = np.array([sampled[name] for name in names], dtype=float)
     model = PieceModel(names, pieces, np.full((len(pieces), len(names)), 1 / max(1, len(pieces))), docs / max(1.0, docs.sum()))
     for _ in range(rounds if names and words else 0):
         uses = model.expected(list(words), counts)
@@ -249,7 +262,7 @@ def identified(docs: DataFrame, model: PieceModel, column: str = "text", names:
 
         return compute
 
-    return map_texts(docs, column, f"{names[0]} string, {names[1]} double", worker, BATCH_CHARS)
+    return map_texts(docs, column, f"{names[0]} string, {names[1]} double", worker, model.fewer(BATCH_CHARS))
 
 
 def in_known_languages(docs: DataFrame, model: PieceModel, least: float = 0.5) -> DataFrame:

@@ -83,3 +83,14 @@ def test_rejects_and_empty_tables(spark):
     assert language.in_known_languages(documents(spark, []), model).count() == 0
     none = language.fit(documents(spark, []))
     assert [r.lang_pred for r in language.identified(documents(spark, [(1, "a b")]).select("text"), none).collect()] == ["und"]
+
+
+def test_every_labelled_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrst"
+    pairs = list(itertools.combinations(letters, 2))[:70]
+    rows = [(10 * k + i, prose((k, i), 30, "".join(pair)), f"lang{k}", "s") for k, pair in enumerate(pairs) for i in range(3 if k else 2)]
+    docs = documents(spark, rows)
+    model = language.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = language.identified(docs, model).where("lang = 'lang0'").collect()
+    assert len(got) == 2 and {r.lang_pred for r in got} == {"lang0"}
