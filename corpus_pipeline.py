@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import copies, language, mixing, packing, repeats
+from auditweave.llm import language, mixing, packing, repeats, simhash
 from auditweave.llm.base import held_out
 from auditweave.plans.joins import stored
 
@@ -18,8 +18,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by similarities of 0.8 or more, in shingles of five words."""
-    return copies.without_near_copies(docs)
+    """One document of each group whose SimHash fingerprints are linked within two bits."""
+    return simhash.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
