@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditweave.llm.base import Scratch
 from auditweave.plans.joins import stored
 
 ROUNDS = 60
@@ -29,17 +30,25 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: bigint); a component is its smallest node.
 
     Null ends and links of a node to itself are ignored; an empty table gives no rows. Each round is
-    written to the shared folder, so the plan stays short and a lost executor costs one round.
+    written to the shared folder, so the plan stays short and a lost executor costs one round. A round
+    is deleted as soon as the next one is written.
     """
-    links = stored(links.where("a <> b").distinct(), "links")
+    spark = links.sparkSession
+    before = Scratch(spark)
+    links = before.stored(links.where("a <> b").distinct(), "links")
     state = None
     for _ in range(rounds):
-        links = stored(_star(_star(links, large=True), large=False), "links")
+        after = Scratch(spark)
+        links = after.stored(_star(_star(links, large=True), large=False), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        before.drop()
+        before = after
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return ends.union(ends.select(F.col("component").alias("node"), "component")).distinct()
+    found = stored(ends.union(ends.select(F.col("component").alias("node"), "component")).distinct(), "components")
+    before.drop()
+    return found
