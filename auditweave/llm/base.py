@@ -3,6 +3,7 @@
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +102,28 @@ def split_batch(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[
         total += size or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each group of ``keys`` as one table, from batches that are sorted by them.
+
+    Only the group at hand is held, so a caller bounds the size of its groups, not of its partitions.
+    """
+    held, of = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        changed = np.zeros(batch.num_rows - 1, dtype=bool)
+        for column in columns:
+            changed |= pa.compute.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            now = tuple(c[begin].as_py() for c in columns)
+            if held and now != of:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            of = now
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import chat, edits, language, mixing, neighbours, packing, quality, repeats, simhash, toxicity
+from auditweave.llm import chat, edits, jaccard, language, mixing, neighbours, packing, quality, repeats, simhash, toxicity
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,28 @@ def op4_repeats(spark, sf_dir):
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 4
+    THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w),
+  n AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(list_sort(shingles), chr(10))) AS node, shingles FROM s),
+  c AS (SELECT node, any_value(n) AS n, min(doc_id) AS least, any_value(shingles) AS shingles FROM n WHERE n > 0 GROUP BY node),
+  e AS (SELECT least, n, unnest(shingles) AS shingle FROM c),
+  l AS (SELECT x.least AS a, y.least AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.least <> y.least AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+    GROUP BY x.least, y.least, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+  r AS (SELECT least AS doc, least AS other FROM c UNION SELECT r.doc, l.b FROM r JOIN l ON l.a = r.other)
+SELECT n.doc_id, CAST(n.n AS bigint) AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE g.component_id END AS component_id
+FROM n LEFT JOIN c ON c.node = n.node AND n.n > 0 LEFT JOIN (SELECT doc, min(other) AS component_id FROM r GROUP BY doc) g ON g.doc = c.least"""
+
+
+@query("op13_jaccard", JACCARD_SQL)
+def op13_jaccard(spark, sf_dir):
+    """Components of documents whose sets of four-word shingles are 85 % alike."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
