@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditweave.llm import chat, edits, jaccard, language, mixing, neighbours, packing, quality, repeats, simhash, toxicity
+from auditweave.llm import chat, edits, jaccard, language, mixing, neighbours, packing, quality, repeats, simhash, toxicity, trie
 from auditweave.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,38 @@ def op4_repeats(spark, sf_dir):
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS varchar), ''),
+      lambda x: [CAST(ascii(x) AS bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM t GROUP BY conv_id),
+  l AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+  r AS (SELECT l.conv_id, t.place + 1 AS depth, role, text FROM l JOIN t ON t.conv_id = l.base AND t.place < l.h
+    UNION ALL SELECT l.conv_id, l.head + t.place - l.h + 1, role, text FROM l JOIN t ON t.conv_id = l.conv_id AND t.place >= l.h),
+  p AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM l),
+  g AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY node),
+  e AS (SELECT DISTINCT a.node, b.node AS parent FROM p a JOIN p b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1),
+  k AS (SELECT parent, count(*) AS n_children FROM e GROUP BY parent),
+  s AS (SELECT a.node, sum((x.n_convs - 1) * x.words) AS saved, count(*) FILTER (k.parent IS NULL) AS leaves
+    FROM g x JOIN p a ON a.conv_id = x.conv_id AND a.depth <= x.depth LEFT JOIN k ON k.parent = x.node GROUP BY a.node),
+  f AS (SELECT p.node, string_agg(CAST(p.conv_id AS varchar), ',' ORDER BY p.conv_id) AS ids
+    FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id) m ON m.conv_id = p.conv_id AND m.depth = p.depth GROUP BY p.node)
+SELECT g.conv_id, CAST(g.depth AS bigint) AS depth, o.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children,
+  s.leaves AS n_leaves, CAST(s.saved AS bigint) AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM g JOIN s ON s.node = g.node LEFT JOIN k ON k.parent = g.node LEFT JOIN f ON f.node = g.node
+  LEFT JOIN e ON e.node = g.node LEFT JOIN g o ON o.node = e.parent"""
+
+
+@query("op11_trie", TRIE_SQL)
+def op11_trie(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS words FROM documents),
