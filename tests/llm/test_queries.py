@@ -22,7 +22,7 @@ COLUMNS = {
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     assert set(QUERIES) == set(COLUMNS) | set(ORACLES)
 
 
