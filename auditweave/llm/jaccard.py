@@ -1,11 +1,12 @@
 """Jaccard join of word n-grams by a grouped prefix join."""
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import Scratch, map_texts, sorted_groups, split_batch
@@ -132,6 +133,45 @@ def _alike(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def passing(left: list, right: list, counts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``left`` and of ``right`` (lists of group, size, prefix) can be similar to one of another group.
+
+    Of two sets, let z be the one whose prefix ends first in the order of shingles. What they share up to
+    there is in both prefixes, and beyond it z has only the rest of its shingles. Most pairs that share
+    just a passage cannot reach the similarity by that bound.
+    """
+    of, sizes = (np.array([r[i] for r in right]) for i in (0, 1))
+    lengths = np.array([len(r[2]) for r in right])
+    ends = np.array([r[2][-1] for r in right], dtype=np.uint64)
+    end_counts = counts[slots(ends)]
+    search = _Search([r[2] for r in right])
+    one, two = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+    for i, (group, size, own) in enumerate(left):
+        count = counts[slots(own[-1:])][0]
+        first = (count < end_counts) | ((count == end_counts) & (own[-1] <= ends))
+        most = search.common(own) + np.where(first, size - len(own), sizes - lengths)
+        fit = ((100 + least) * most >= least * (size + sizes)) & (np.minimum(size, sizes) * 100 >= np.maximum(size, sizes) * least) & (of != group)
+        one[i] = fit.any()
+        two |= fit
+    return one, two
+
+
+class _Search:
+    """How many shingles a set has in common with each of many, by one sorted list of theirs."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        shingles = np.concatenate(sets)
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owners, self.count = shingles[order], owners[order], len(sets)
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.shingles, own), np.searchsorted(self.shingles, own, side="right")
+        runs = high - low
+        places = np.repeat(low - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
+        return np.bincount(self.owners[places], minlength=self.count)
+
+
 def block_links(left: list, right: list, least: int = LEAST) -> list[tuple[int, int]]:
     """Links that join the groups of ``left`` and ``right`` (lists of node, group, set) as all similar pairs do.
 
@@ -146,16 +186,9 @@ def block_links(left: list, right: list, least: int = LEAST) -> list[tuple[int,
         return x
 
     sizes = np.array([len(s) for _, _, s in right])
-    shingles = np.concatenate([s for _, _, s in right])
-    owners = np.repeat(np.arange(len(right)), sizes)
-    order = np.argsort(shingles, kind="stable")
-    shingles, owners = shingles[order], owners[order]
-    out = []
+    search, out = _Search([s for _, _, s in right]), []
     for node, group, own in left:
-        low, high = np.searchsorted(shingles, own), np.searchsorted(shingles, own, side="right")
-        runs = high - low
-        places = np.repeat(low - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
-        both = np.bincount(owners[places], minlength=len(right))
+        both = search.common(own)
         for i in np.flatnonzero(100 * both >= least * (len(own) + sizes - both)).tolist():
             one, other = root(group), root(right[i][1])
             if one != other:
@@ -164,77 +197,144 @@ def block_links(left: list, right: list, least: int = LEAST) -> list[tuple[int,
     return out
 
 
+def _cells(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, list]]:
+    """The minor members of each cell and all, as lists of ``columns``; the last is a set of shingles."""
+    for rows in sorted_groups(batches, "block", "i", "j"):
+        sides = [[], []]
+        for minor, *facts, own in zip(*(rows.column(c).to_pylist() for c in ("minor", *columns))):
+            own = np.frombuffer(own, dtype=np.uint64) if isinstance(own, bytes) else np.array(own, dtype=np.int64).view(np.uint64)
+            sides[not minor].append((*facts, own))
+        if all(sides):
+            yield tuple(sides)
+
+
 def _linked_blocks(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for rows in sorted_groups(batches, "block", "i", "j"):
-            sides = [[], []]
-            columns = [rows.column(c).to_pylist() for c in ("minor", "node", "component", "shingles")]
-            for minor, node, group, own in zip(*columns):
-                sides[not minor].append((node, group, np.frombuffer(own, dtype=np.uint64)))
-            found = block_links(*sides, least) if all(sides) else []
+        for sides in _cells(batches, "node", "component", "shingles"):
+            found = block_links(*sides, least)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
 
 
-def _met(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _passing_blocks(counts: np.ndarray, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The members of each block that can be similar to one of another component."""
+
+    def run(batches):
+        for rows in sorted_groups(batches, "block", "i", "j"):
+            block = rows.column("block")[0].as_py()
+            for sides in _cells(iter(rows.to_batches()), "node", "component", "n", "prefix"):
+                kept = passing(*([r[1:] for r in side] for side in sides), counts, least)
+                nodes = {r[0] for side, fit in zip(sides, kept) for r, f in zip(side, fit) if f}
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["block", "node"])
+
+    return run
+
+
+def _passing_pairs(counts: np.ndarray, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for batch in batches:
+            sides = ([(i, n, np.array(p, dtype=np.int64).view(np.uint64)) for n, p in zip(batch.column(f"n_{x}").to_pylist(), batch.column(f"prefix_{x}").to_pylist())]
+                     for i, x in enumerate("ab"))
+            keep = [passing([left], [right], counts, least)[0][0] for left, right in zip(*sides)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def size_classes(n: Column, least: int = LEAST) -> Column:
+    """The two classes of a size: sets that can be similar have one in common, and few others have."""
+    own = F.floor(F.log(n.cast("double")) / math.log(100 / least) - 1e-9).cast("int")
+    return F.array(own, own + 1)
+
+
+def _met(nodes: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     """(block, center, node, n): sets that can be similar meet in a block, each set once.
 
-    Sets with the same size and prefix are one family. Families that share a shingle of their prefixes
-    are in the block of the smallest of them, so a block has one row per member however many shingles
-    they share, and its center is the smallest set of that family.
+    Sets with the same size and prefix are one family. Families that share a shingle of their prefixes and
+    a class of size are in the block of the smallest of them, so a block has one row per member however many
+    shingles they share, and its center is the smallest set of that family.
     """
-    families = nodes.groupBy("family").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    families = scratch.stored(families, "families")
-    posts = families.select("family", F.explode("prefix").alias("token"))
-    leads = posts.groupBy("token").agg(F.min("family").alias("block"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    leads = scratch.stored(leads, "leads")  # a join with a stored table can split a frequent shingle
-    pairs = posts.join(leads, "token").select("block", "family")
+    own = Scratch(nodes.sparkSession)
+    families = nodes.groupBy("family").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"),
+                                           F.first("prefix").alias("prefix"))
+    families = own.stored(families, "families")
+    posts = families.select(F.explode("prefix").alias("token"), "family", "n")
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+    shared = own.stored(shared, "shared")  # a join with a stored table can split a frequent shingle
+    posts = own.stored(posts.join(shared, "token").select("token", "family", F.explode(size_classes(F.col("n"), least)).alias("class")), "posts")
+    leads = posts.groupBy("token", "class").agg(F.min("family").alias("block"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    pairs = posts.join(own.stored(leads, "leads"), ["token", "class"]).select("block", "family")
     # What else is in a block of one family: sets of equal size and prefix.
     alone = families.where("members > 1").select(F.col("family").alias("block"), "family")
-    pairs = scratch.stored(pairs.union(alone).distinct(), "blocks")
+    pairs = own.stored(pairs.union(alone).distinct(), "blocks")
     centers = families.select(F.col("family").alias("block"), "center")
-    return scratch.stored(pairs.join(centers, "block").join(nodes.select("family", "node", "n"), "family").drop("family"), "met")
+    met = scratch.stored(pairs.join(centers, "block").join(nodes.select("family", "node", "n"), "family").drop("family"), "met")
+    own.drop()
+    return met
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes, from the text of their mark."""
+    picked = nodes.select("node", "mark").join(wanted, "node", "left_semi").select("mark").distinct()
+    sets = map_texts(texts.join(picked, "mark", "left_semi"), "text", "node bigint, shingles binary", lambda: _sets(words))
+    return sets.select("node", "shingles").dropDuplicates(["node"])
+
+
+def _cut(placed: DataFrame, columns: list[str], block_shingles: int, scratch: Scratch) -> DataFrame:
+    """``columns`` of the members ``placed`` (block, node, n, component, minor) of blocks, dealt to cells (block, i, j).
+
+    The minor members of a block meet all its members in parts of ``block_shingles`` shingles on either side.
+    """
+    parts = placed.groupBy("block").agg(
+        F.count_if("minor").alias("minors"), F.count(F.lit(1)).alias("members"),
+        F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / block_shingles).cast("int").alias("rows"),
+        F.ceil(F.sum("n") / block_shingles).cast("int").alias("columns"))
+    parts = scratch.stored(parts.where("minors > 0 AND members > 1").select("block", "rows", "columns"), "parts")
+    placed = placed.join(parts, "block")
+    own = {side: F.pmod(F.xxhash64("node"), F.col(side)).cast("int") for side in ("rows", "columns")}
+    every = {side: F.explode(F.sequence(F.lit(0), F.col(side) - 1)) for side in ("rows", "columns")}
+    left = placed.where("minor").select("block", *columns, F.lit(True).alias("minor"), own["rows"].alias("i"), every["columns"].alias("j"))
+    right = placed.select("block", *columns, F.lit(False).alias("minor"), every["rows"].alias("i"), own["columns"].alias("j"))
+    return left.union(right)
 
 
-def similar_groups(texts: DataFrame, nodes: DataFrame, scratch: Scratch, words: int = WORDS, least: int = LEAST,
+def similar_groups(texts: DataFrame, nodes: DataFrame, counts: np.ndarray, scratch: Scratch, words: int = WORDS, least: int = LEAST,
                    block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, component) of the sets ``nodes`` (node, n, mark, family, prefix) that are similar to others.
 
-    ``texts`` has the text of each mark. Each member of a block is first verified against its center.
-    What is then not joined with the center, the minor members, is compared with all members of its
-    block, in parts of ``block_shingles`` shingles on either side. So a block of many versions of one
-    text takes one row per version, and no similar pair is missed. Only links that join two groups are
-    kept, never all pairs.
+    ``texts`` has the text of each mark. Pairs are filtered by their sizes and prefixes; sets are made for
+    what passes only. Each member of a block is first verified against its center. What is then not
+    joined with the center, the minor members, is compared with all members of its block, in parts of
+    ``block_shingles`` shingles on either side. So a block of many versions of one text takes one row
+    per version, and no similar pair is missed. Only links that join two groups are kept, never all pairs.
     """
-    met = _met(nodes, scratch)
-    picked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("mark").distinct()
-    sets = map_texts(texts.join(picked, "mark", "left_semi"), "text", "node bigint, shingles binary", lambda: _sets(words))
-    sets = scratch.stored(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
-    sizes = nodes.select(F.col("node").alias("center"), F.col("n").alias("center_n"))
-    stars = met.where("node <> center").join(sizes, "center").where(F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * least)
-    stars = scratch.stored(stars.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    met = _met(nodes, scratch, least)
+    ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab"]
+    stars = met.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+    stars = scratch.stored(stars.mapInArrow(_passing_pairs(counts, least), "a bigint, b bigint"), "stars")
+    sides = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sets = scratch.stored(_sets_of(texts, nodes, sides, words), "sets")
     pairs = stars.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
     links = scratch.stored(pairs.mapInArrow(_alike(least), "a bigint, b bigint"), "links")
     known = components(links)
     placed = met.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     centers = known.toDF("center", "main")
-    placed = placed.join(centers, "center", "left").withColumn("minor", F.col("component") != F.coalesce("main", "center"))
-    placed = scratch.stored(placed.select("block", "node", "n", "component", "minor"), "placed")
-    parts = placed.groupBy("block").agg(
-        F.count(F.lit(1)).alias("members"), F.count_if("minor").alias("minors"),
-        F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / block_shingles).cast("int").alias("rows"),
-        F.ceil(F.sum("n") / block_shingles).cast("int").alias("columns"))
     # In a block of two the center has seen the other.
-    parts = scratch.stored(parts.where("minors > 0 AND members > 2").select("block", "rows", "columns"), "parts")
-    placed = placed.join(parts, "block")
-    own = {side: F.pmod(F.xxhash64("node"), F.col(side)).cast("int") for side in ("rows", "columns")}
-    every = {side: F.explode(F.sequence(F.lit(0), F.col(side) - 1)) for side in ("rows", "columns")}
-    columns = ["block", "node", "component"]
-    left = placed.where("minor").select(*columns, F.lit(True).alias("minor"), own["rows"].alias("i"), every["columns"].alias("j"))
-    right = placed.select(*columns, F.lit(False).alias("minor"), every["rows"].alias("i"), own["columns"].alias("j"))
-    cells = left.union(right).join(sets, "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    larger = scratch.stored(met.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("block"), "larger")
+    placed = placed.join(larger, "block").join(centers, "center", "left").withColumn("minor", F.col("component") != F.coalesce("main", "center"))
+    placed = scratch.stored(placed.select("block", "node", "n", "component", "minor"), "placed")
+    cells = _cut(placed, ["node", "component", "n"], block_shingles, scratch).join(nodes.select("node", "prefix"), "node")
+    cells = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    alive = scratch.stored(cells.mapInArrow(_passing_blocks(counts, least), "block bigint, node bigint").distinct(), "alive")
+    if alive.isEmpty():
+        return known
+    placed = scratch.stored(placed.join(alive, ["block", "node"]), "placed")
+    sets = scratch.stored(_sets_of(texts, nodes, alive.select("node").distinct(), words), "sets")
+    cells = _cut(placed, ["node", "component"], block_shingles, scratch).join(sets, "node")
+    cells = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     more = scratch.stored(cells.mapInArrow(_linked_blocks(least), "a bigint, b bigint"), "links")
     return known if more.isEmpty() else components(links.union(more))
 
@@ -265,7 +365,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, least: int = LEAST,
     kept = texts.join(least_ids.select("mark"), "mark", "left_semi")
     prefixes = map_texts(kept, "text", "node bigint, n bigint, family bigint, prefix array<bigint>", lambda: _prefixes(words, counts, least))
     nodes = scratch.stored(prefixes.drop("text").dropDuplicates(["node"]), "nodes")
-    found = similar_groups(texts, nodes, scratch, words, least, **options)
+    found = similar_groups(texts, nodes, counts, scratch, words, least, **options)
     placed = least_ids.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     smallest = scratch.stored(placed.join(smallest, "component").select("node", "component_id"), "smallest")
