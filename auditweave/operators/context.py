@@ -1,6 +1,7 @@
 """Security context per project: framework, authentication, routes, models and roles."""
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,14 +64,6 @@ def _hits(patterns: Sequence[str], trim: bool) -> Column:
     return F.array_distinct(F.transform(every, text.strip) if trim else every)
 
 
-def _hits_by_language(kinds: dict[str, Sequence[str]], trim: bool) -> Column:
-    chosen = _hits(kinds.get(DEFAULT_LANGUAGE, ()), trim)
-    for language, patterns in kinds.items():
-        if language != DEFAULT_LANGUAGE:
-            chosen = F.when(F.col("language") == language, _hits(patterns, trim)).otherwise(chosen)
-    return chosen
-
-
 def _role_contexts(patterns: Sequence[str], margin: int = ROLE_MARGIN) -> Column:
     """First lines of the surroundings of every role hit.
 
@@ -129,79 +122,84 @@ def _languages(framework: Column, catalogue: Catalogue) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), framework), F.lit("unknown"))
 
 
-def project_features(
-    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int | None = vocab.SAMPLE_FILES
-) -> DataFrame:
-    """Everything the context needs, one row per project of ``files``.
+def _items(catalogue: Catalogue) -> Column:
+    """What a file holds, as (kind, place, hit): its framework, its path per kind of authentication, its matches.
 
-    The framework of a project is a minimum over its files and comes back to them as one short row.
-    What a file holds is then exploded and reduced to the first place of each distinct hit, partly
-    before the shuffle; texts enter no window and no list. The lists of distinct hits are assembled
-    last, from short rows, so their size follows from what a project holds and not from its texts.
+    Routes and models are searched by the patterns of every language, each as a kind of its own: the
+    language of a project follows from all its files and then chooses among the kinds.
     """
-    sampled = sample_files(files, limit)
-    manifests = manifest_languages(files, catalogue)
-    framework = _first_framework(catalogue)
-    first = sampled.select("project", F.struct("path", framework.alias("framework")).alias("_hit"))
-    first = first.filter(F.col("_hit.framework").isNotNull()).groupBy("project").agg(F.min("_hit").alias("_hit"))
-    facts = manifests.join(first, "project", "left").select(
-        "project",
-        F.coalesce(F.col("_hit.framework"), F.lit("unknown")).alias("framework"),
-        F.when(F.col("_hit").isNull(), F.col("manifest_language"))
-        .otherwise(_languages(F.col("_hit.framework"), catalogue)).alias("language"),
-    )
-    rows = lookup_join(sampled, facts, "project", spread=["path"], size_of=files.select("project").distinct())
-    auth = {c: rx.found(F.col("content"), p) for c, p in catalogue.auth.items()}
-    any_auth = F.lit(False)
-    for category in auth:
-        any_auth = any_auth | F.col(f"_auth_{category}")
-    lists = {
-        "routes": _hits_by_language(catalogue.routes, trim=False),
-        "models": _hits_by_language(catalogue.models, trim=True),
-        "roles": _role_contexts(catalogue.roles),
-    }
-    searched = rows.select(
-        "project", "framework", "language", "path",
-        *[found.alias(name) for name, found in lists.items()], *[found.alias(f"_auth_{c}") for c, found in auth.items()],
-    )
+    auth = {f"auth_{c}": rx.found(F.col("content"), p) for c, p in catalogue.auth.items()}
+    auth["auth"] = functools.reduce(lambda x, y: x | y, auth.values(), F.lit(False))
+    lists = {f"routes:{name}": _hits(p, trim=False) for name, p in catalogue.routes.items()}
+    lists |= {f"models:{name}": _hits(p, trim=True) for name, p in catalogue.models.items()}
+    lists["roles"] = _role_contexts(catalogue.roles)
 
-    def of_file(kind: str, holds: Column) -> Column:
-        return F.when(holds, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.col("path").alias("hit"))))
+    def item(kind: str, place: Column, hit: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), place.alias("place"), hit.alias("hit"))
 
-    def of_list(kind: str) -> Column:
-        return F.transform(kind, lambda hit, place: F.struct(F.lit(kind).alias("kind"), place.alias("place"), hit.alias("hit")))
+    def of_list(kind: str, hits: Column) -> Column:
+        return F.transform(hits, lambda hit, place: item(kind, place, hit))
 
     none = F.array().cast("array<struct<kind:string,place:int,hit:string>>")
-    items = F.concat(
-        of_file("file", F.lit(True)),
-        F.coalesce(of_file("auth", any_auth), none),
-        *[F.coalesce(of_file(f"auth_{c}", F.col(f"_auth_{c}")), none) for c in auth],
-        *[of_list(name) for name in lists],
-    )
-    exploded = searched.select("project", "framework", "language", "path", F.explode(items).alias("_item"))
-    distinct = exploded.groupBy("project", F.col("_item.kind").alias("kind"), F.col("_item.hit").alias("hit")).agg(
-        F.min(F.struct("path", F.col("_item.place").alias("place"))).alias("first"),
-        F.first("framework").alias("framework"), F.first("language").alias("language"),
+    framework = _first_framework(catalogue)
+    return F.concat(
+        F.when(framework.isNotNull(), F.array(item("framework", F.lit(0), framework))).otherwise(none),
+        *[F.when(holds, F.array(item(kind, F.lit(0), F.col("path")))).otherwise(none) for kind, holds in auth.items()],
+        *[of_list(kind, hits) for kind, hits in lists.items()],
     )
 
-    def listed(kind: str) -> Column:
-        places = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("first", "hit"))))
-        return F.transform(places, lambda x: x["hit"])
 
+def files_sampled(files: DataFrame, limit: int | None, max_bytes: int | None = vocab.MAX_FILE_BYTES) -> DataFrame:
+    """(project, files_sampled): how many files :func:`sample_files` takes, from paths alone."""
+    counted = admitted(files, max_bytes).groupBy("project").agg(F.count(F.lit(1)).alias("files_sampled"))
+    return counted if limit is None else counted.withColumn("files_sampled", F.least("files_sampled", F.lit(limit).cast("long")))
+
+
+def project_features(
+    files: DataFrame,
+    catalogue: Catalogue = DEFAULT_CATALOGUE,
+    limit: int | None = vocab.SAMPLE_FILES,
+    candidates: DataFrame | None = None,
+) -> DataFrame:
+    """Everything the context needs, one row per project of ``files``.
+
+    Texts are read and searched once. What a file holds is exploded and reduced to the first place of each
+    distinct hit, partly before the shuffle; texts enter no window and no list. The lists of distinct hits
+    are assembled last, from short rows, so their size follows from what a project holds and not from its
+    texts. With ``candidates`` (project, path) only the texts of those files are searched: pass the files
+    that a pattern can match, as :func:`auditweave.operators.search_index.candidates` finds them.
+    """
+    sampled = sample_files(files, limit)
+    if candidates is not None:
+        sampled = lookup_join(sampled, candidates, ["project", "path"], "left_semi", spread=["path"])
+    exploded = sampled.select("project", "path", F.explode(_items(catalogue)).alias("_item"))
+    distinct = exploded.groupBy("project", F.col("_item.kind").alias("kind"), F.col("_item.hit").alias("hit")).agg(
+        F.min(F.struct("path", F.col("_item.place").alias("place"))).alias("first"))
+
+    whole = ~F.col("kind").startswith("auth_") & (F.col("kind") != "framework")
     found = distinct.groupBy("project").agg(
-        F.first("framework").alias("framework"), F.first("language").alias("language"),
-        F.count_if(F.col("kind") == "file").alias("files_sampled"),
-        F.struct(*[F.count_if(F.col("kind") == f"auth_{c}").alias(c) for c in auth]).alias("auth_counts"),
-        listed("auth").alias("auth_files"), *[listed(name).alias(name) for name in lists],
+        F.min(F.when(F.col("kind") == "framework", F.struct("first", "hit")))["hit"].alias("_framework"),
+        F.struct(*[F.count_if(F.col("kind") == f"auth_{c}").alias(c) for c in catalogue.auth]).alias("auth_counts"),
+        F.sort_array(F.collect_list(F.when(whole, F.struct("kind", "first", "hit")))).alias("_found"),
     )
-    texts = F.array().cast("array<string>")
     zero = F.lit(0).cast("long")
-    return manifests.join(found, "project", "left").select(
-        "project", F.coalesce("framework", F.lit("unknown")).alias("framework"),
-        F.coalesce("language", "manifest_language").alias("language"),
+    language = F.when(F.col("_framework").isNull(), F.col("manifest_language")).otherwise(_languages(F.col("_framework"), catalogue))
+
+    def listed(kind: Column) -> Column:
+        hits = F.transform(F.filter("_found", lambda x: x["kind"] == kind), lambda x: x["hit"])
+        return F.coalesce(hits, F.array().cast("array<string>"))
+
+    def of_language(kind: str, names: Iterable[str]) -> Column:
+        name = F.when(F.col("language").isin(list(names)), F.col("language")).otherwise(F.lit(DEFAULT_LANGUAGE))
+        return listed(F.concat(F.lit(f"{kind}:"), name)).alias(kind)
+
+    rows = manifest_languages(files, catalogue).join(files_sampled(files, limit), "project", "left").join(found, "project", "left")
+    return rows.withColumn("language", language).select(
+        "project", F.coalesce("_framework", F.lit("unknown")).alias("framework"), "language",
         F.coalesce("files_sampled", zero).alias("files_sampled"),
-        F.coalesce("auth_counts", F.struct(*[zero.alias(c) for c in auth])).alias("auth_counts"),
-        *[F.coalesce(name, texts).alias(name) for name in ("auth_files", *lists)],
+        F.coalesce("auth_counts", F.struct(*[zero.alias(c) for c in catalogue.auth])).alias("auth_counts"),
+        listed(F.lit("auth")).alias("auth_files"), of_language("routes", catalogue.routes), of_language("models", catalogue.models),
+        listed(F.lit("roles")).alias("roles"),
     )
 
 
@@ -218,10 +216,13 @@ def auth_summary(categories: Sequence[str]) -> Column:
 
 
 def build_snapshot(
-    files: DataFrame, catalogue: Catalogue = DEFAULT_CATALOGUE, limit: int | None = vocab.SAMPLE_FILES
+    files: DataFrame,
+    catalogue: Catalogue = DEFAULT_CATALOGUE,
+    limit: int | None = vocab.SAMPLE_FILES,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """The security context, one row per project."""
-    features = project_features(files, catalogue, limit)
+    """The security context, one row per project; see :func:`project_features` for ``candidates``."""
+    features = project_features(files, catalogue, limit, candidates)
     return features.select(
         "project", "framework", "language",
         auth_summary(list(catalogue.auth)).alias("auth_summary"),
