@@ -10,6 +10,7 @@ from auditweave import vocab
 from auditweave.catalogues import DEFAULT_CATALOGUE, DEFAULT_LANGUAGE, Catalogue
 from auditweave.functions import patterns as rx
 from auditweave.functions import text
+from auditweave.operators.manifest import changed_projects, file_manifest
 from auditweave.plans.joins import lookup_join
 from auditweave.sources.files import admitted
 from auditweave.sources.roots import manifest_languages
@@ -296,8 +297,17 @@ def context_json(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("project", F.to_json(F.struct(*fields)).alias("context_json"))
 
 
-def refresh_snapshot(stored: DataFrame, files: DataFrame, changed: DataFrame, **options) -> DataFrame:
-    """Rebuild the contexts of the ``changed`` projects and keep the stored rows of all others."""
+def refresh_snapshot(stored: DataFrame, files: DataFrame, changed: DataFrame | None = None, manifest: DataFrame | None = None, **options) -> DataFrame:
+    """Rebuild the contexts of the ``changed`` projects and keep the stored rows of all others.
+
+    Instead of naming the changed projects, pass the ``manifest`` of the files that ``stored`` was built from (see
+    :func:`auditweave.operators.manifest.file_manifest`): projects whose digest differs are rebuilt, projects
+    without any file left lose their row.
+    """
+    if (changed is None) == (manifest is None):
+        raise ValueError("name the changed projects or give the manifest of the stored snapshot")
+    if changed is None:
+        changed = changed_projects(manifest, file_manifest(files))
     names = changed.select("project").distinct()
     touched = lookup_join(files, names, "project", "left_semi", spread=["path"])
     kept = lookup_join(stored, names, "project", "left_anti", spread=["framework"])
