@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, slopes:
                    share: float = SHARE, most: int = MOST) -> DataFrame:
     """Per source (columns source, source_size) its weight, slope, target and quota in whole words.
 
-    Sources are few, so they are ordered in one task. Water is filled to one level: a source that
+    One row per source is ordered in one task, so that task grows with the number of different sources and
+    with nothing else. Water is filled to one level: a source that
     reaches ``most`` times its size stops there and the rest is shared by weight.
     """
     every = Window.orderBy(F.col("source").asc_nulls_last())
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(in_source), F.lit(0)))
     starts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
         F.col("s.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "start", "source_size", "target", "quota", "slope")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
     rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +114,9 @@ def range_sorted(rows: DataFrame, *by: Column) -> DataFrame:
 def curriculum(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: one row per document and epoch, the columns of ``docs``, in training order.
 
-    A document that the target cuts keeps its first words (separated by single spaces).
+    A document that the target cuts keeps its first words (separated by single spaces). Null and empty texts
+    have no words and no row; ids and sources may be null; repeated rows each take their turn. Empty table:
+    no rows. Columns may have any name.
     """
     words = F.col("epoch.words")
     rows = mix(docs, **options).withColumn("epoch", F.explode("epochs"))

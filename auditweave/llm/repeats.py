@@ -368,8 +368,8 @@ def recurring_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, g
 
 def removed(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_SEGMENTS, block_bytes: int = BLOCK_BYTES,
             with_text: bool = False) -> DataFrame:
-    """Per distinct text of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept_text too,
-    and only texts that lose something.
+    """Per distinct text of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept_text too, null
+    where nothing is removed.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere (in any text, the same
     included, or in another copy of it) is removed; strings are judged on the input. In ``kept_text`` a
@@ -398,32 +398,39 @@ def removed(docs: DataFrame, length: int = LENGTH, group_segments: int = GROUP_S
                     at = max(at, end)
                 kept = b"".join([*kept, body[at:]])
                 rows.append((key, len(body), gone, spans, hashlib.sha256(kept).hexdigest(),
-                             kept.decode("utf-8", "ignore") if with_text else None))
+                             kept.decode("utf-8", "ignore") if with_text and gone else None))
             yield _batch(rows, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                          [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     schema = "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
     out = texts.join(lists, "key", "left").mapInArrow(run, schema)
-    out = stored(out.where("n_removed > 0") if with_text else out.drop("kept_text"), "removed")
+    out = stored(out if with_text else out.drop("kept_text"), "removed")
     scratch.drop()
     return out
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left).
+
+    The hash is of the remaining bytes; in ``text`` a character that lost a byte is left out.
 
     Nulls: a null text is empty, a null id stays null. Empty and short texts lose nothing. Repeated rows
     and equal texts of ``length`` bytes or more lose all, as each string also starts in the other.
     Empty table: no rows. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("key"))
-    return rows.join(removed(docs.select("text"), length, **options), "key").drop("key")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(removed(docs.select("text"), length, with_text=True, **options), "key")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("kept_text", "text").alias("text"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """``docs`` with recurring strings cut from ``text``; rows that lose all their text go. All columns stay."""
+    """``docs`` with recurring strings cut from ``text``; rows that lose all their text go. All columns stay.
+
+    Nulls, empty and short texts stay as they are, and so do null ids. Repeated rows and equal texts lose all and
+    go. Empty table: no rows. Columns may have any name.
+    """
     rows = packed_rows(docs).withColumn("key", text_key("text"))
-    cut = removed(docs.select("text"), length, with_text=True, **options)
+    cut = removed(docs.select("text"), length, with_text=True, **options).where("n_removed > 0")
     cut = cut.select("key", "kept_text")
     rows = rows.join(cut, "key", "left").where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"\S"))
     return unpacked_rows(rows, docs, F.coalesce("kept_text", F.col("text")))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import map_texts, packed_rows, unpacked_rows
+from auditweave.llm.base import map_texts, packed_rows, sorted_groups, unpacked_rows
 from auditweave.llm.components import components
 from auditweave.plans.joins import stored
 
@@ -110,17 +110,9 @@ def _stars(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star links of every (mask, pattern) group of a partition."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    mask, pattern, code = (table.column(c).to_numpy() for c in ("mask", "pattern", "fingerprint"))
-    order = np.lexsort((code, pattern, mask))
-    mask, pattern, code = mask[order], pattern[order], code[order].view(np.uint64)
-    ends = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
-    for group in np.split(code, ends):
-        a, b = _stars(group)
+    """Star links of every (mask, pattern) group, one group at a time."""
+    for group in sorted_groups(batches, "mask", "pattern"):
+        a, b = _stars(np.sort(group.column("fingerprint").to_numpy()).view(np.uint64))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
@@ -164,7 +156,8 @@ def close_links(codes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     chosen = F.when(F.col("rows") > group_rows, finer).otherwise(F.array("mask"))
     rows = rows.select("fingerprint", F.explode(chosen).alias("mask"))
     rows = rows.withColumn("pattern", F.col("fingerprint").bitwiseAND(F.col("mask")))
-    return rows.repartition("mask", "pattern").mapInArrow(_group_links, "a bigint, b bigint")
+    rows = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+    return rows.mapInArrow(_group_links, "a bigint, b bigint")
 
 
 def near_groups(ids: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

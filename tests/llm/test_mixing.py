@@ -69,6 +69,13 @@ def test_curriculum_has_the_words_taken(spark):
     assert sum(len(r.text.split()) for r in out.collect()) == words
 
 
+def test_columns_may_have_any_name(spark):
+    docs = documents(spark, rows(), ("a.b", "row", "size", "epoch"))
+    out = mixing.curriculum(docs)
+    assert out.columns == docs.columns
+    assert sum(len(r.text.split()) for r in out.collect()) == sum(len(r.text.split()) for r in mixing.curriculum(documents(spark, rows())).collect())
+
+
 def test_empty_table_and_reruns(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     docs = documents(spark, rows())
