@@ -11,12 +11,13 @@ from auditweave import vocab
 from auditweave.functions import text
 from auditweave.operators.chunking import chunk_text
 from auditweave.operators.prompts import build_prompts
-from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, shared_folder
+from auditweave.plans.joins import MAX_BROADCAST_ROWS, at_most, shared_folder, stored
 from auditweave.plans.review import Reviewer, replay, review_to_table
 from auditweave.plans.scan import contexts_of, findings_of
 
 CHANGE_KINDS = ("modified", "created")
 LATENESS = "10 minutes"
+RUN = ("project", "path", "first_change", "last_change")
 LATE = "run_id string, batch_id long, dropped long"
 
 
@@ -143,6 +144,7 @@ def watch(
             projects = [r["project"] for r in fired.select("project").distinct().collect()]
             found = review_changed(fired, files(projects), snapshot(projects), reviewer, f"{out}/responses", **options)
             found.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
+            fired.select(*RUN).write.mode("overwrite").parquet(f"{out}/runs/batch_id={batch_id}")
         finally:
             fired.unpersist()
 
@@ -166,7 +168,67 @@ def watch_totals(scans: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def read_watch(spark: SparkSession, out: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{table}")
+    """A table of the stream; its batches are named by texts, as late reviews have names of their own."""
+    rows = spark.read.parquet(f"{out}/{table}")
+    return rows.withColumn("batch_id", F.col("batch_id").cast("string")) if "batch_id" in rows.columns else rows
+
+
+def keep_changes(changes: DataFrame, out: str, name: str = "changes") -> DataStreamWriter:
+    """A writer for ``start()`` that appends every admitted change to ``{out}/changes``, late ones too.
+
+    It has no state and no watermark, so it drops nothing; a restarted query goes on where the last one ended.
+    """
+    rows = admitted_changes(changes).select("project", "path", "ts")
+    return (
+        rows.writeStream.outputMode("append")
+        .queryName(name)
+        .option("checkpointLocation", f"{shared_folder(changes.sparkSession)}/streams/{name}")
+        .format("parquet")
+        .option("path", f"{out}/changes")
+    )
+
+
+def missed_changes(changes: DataFrame, runs: DataFrame, lateness: str = LATENESS, bucket: str = "1 hour") -> DataFrame:
+    """(project, path, ts) of the ``changes`` that no fired run covers although their time is over.
+
+    ``changes`` is the log of :func:`keep_changes`, ``runs`` (project, path, first_change, last_change) what fired.
+    A change within ``lateness`` of the newest one may still belong to an open run and is left for the next
+    call; one older than that came after the watermark, so the stream dropped it. Both sides meet by
+    path and ``bucket`` of time, so a path with any share of the changes is spread over its buckets. A run
+    is in every bucket that it touches.
+    """
+    width = _milliseconds(changes.sparkSession, bucket) * 1000
+    wait = _milliseconds(changes.sparkSession, lateness) * 1000
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("ts", "first_change", "last_change")}
+    rows = changes.select("project", "path", "ts").distinct().withColumn("_at", micros["ts"])
+    newest = rows.agg(F.max("_at").alias("_newest"))
+    over = rows.join(F.broadcast(newest), F.col("_at") < F.col("_newest") - wait).drop("_newest")
+    over = over.withColumn("_bucket", F.floor(F.col("_at") / width))
+    touched = F.sequence(F.floor(micros["first_change"] / width), F.floor(micros["last_change"] / width))
+    fired = runs.select("project", "path", micros["first_change"].alias("_from"), micros["last_change"].alias("_to"), F.explode(touched).alias("_bucket"))
+    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))
+    fired = fired.withColumnsRenamed({c: f"_run{c}" if c == "_bucket" else f"_run_{c}" for c in ("project", "path", "_bucket")})
+    same = (F.col("project") == F.col("_run_project")) & (F.col("path") == F.col("_run_path")) & (F.col("_bucket") == F.col("_run_bucket"))
+    return over.join(fired, same & inside, "left_anti").select("project", "path", "ts")
+
+
+def review_missed(spark: SparkSession, files: DataFrame, snapshot: DataFrame, reviewer: Reviewer, out: str, run_id: str,
+                  lateness: str = LATENESS, quiet: str = vocab.DEBOUNCE, **options) -> DataFrame:
+    """Review the files of changes that :func:`watch` dropped as late; returns their runs.
+
+    Their runs and findings are added to the tables of the stream as ``batch_id={run_id}``, so the next call
+    does not find them again, and a repeated call overwrites its own. Runs are written last: a call that dies
+    before is simply repeated. An answer that is already stored is not asked for again.
+    """
+    runs = read_watch(spark, out, "runs")
+    missed = missed_changes(read_watch(spark, out, "changes"), runs.where(F.col("batch_id") != F.lit(run_id)), lateness)
+    fired = stored(debounce_history(missed, _milliseconds(spark, quiet)), "missed")
+    found = review_changed(fired, files, snapshot, reviewer, f"{out}/responses", **options)
+    found.write.mode("overwrite").parquet(f"{out}/findings/batch_id={run_id}")
+    scans = fired.groupBy("project").agg(F.count("*").alias("files_scanned"))
+    scans.write.mode("overwrite").parquet(f"{out}/scans/batch_id={run_id}")
+    fired.select(*RUN).write.mode("overwrite").parquet(f"{out}/runs/batch_id={run_id}")
+    return fired
 
 
 class LateRows(StreamingQueryListener):

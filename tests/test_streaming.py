@@ -119,6 +119,30 @@ def test_watch_reviews_changed_files(spark, tmp_path):
     assert (totals.files_scanned, totals.findings) == (5, 3) and asked
     assert watch.late_rows(spark, out) == 1
     spark.streams.removeListener(listener)
+    # The late change is in the log, no run has it, and one review of it is enough.
+    for _ in range(2):
+        watch.keep_changes(stream(spark, folder), out, f"log-{name}").trigger(availableNow=True).start().awaitTermination()
+    log = watch.read_watch(spark, out, "changes")
+    assert log.count() == 8  # three admitted of the first file, two of the second and one of each other
+    late = watch.missed_changes(log, watch.read_watch(spark, out, "runs"), "0 seconds").collect()
+    assert [(r.path, r.ts.replace(tzinfo=dt.timezone.utc)) for r in late] == [("a.py", START + dt.timedelta(seconds=1))]
+    for turn, more in (("late-1", 1), ("late-1", 1), ("late-2", 0)):
+        fired = watch.review_missed(spark, files, ctx.empty_snapshot(files), rv.per_prompt(client, "s"), out, turn, "0 seconds", severity="MEDIUM")
+        assert [(r.path, r.changes) for r in fired.collect()] == [("a.py", 1)] * more
+    totals = watch.watch_totals(watch.read_watch(spark, out, "scans"), watch.read_watch(spark, out, "findings")).first()
+    assert (totals.files_scanned, totals.findings) == (6, 4)
+
+
+def test_changes_outside_of_every_run_are_missed(spark):
+    rows = [change(s) for s in (0, 0.5, 7200.2, 7201, 9000, 20000)] + [change(0.2, path="b.py"), change(0.2, path="b.py"), change(7300, path="b.py")]
+    log = table(spark, *rows)
+    at = lambda s: START + dt.timedelta(seconds=s)
+    # The first run lies in three buckets, the second in one.
+    runs = spark.createDataFrame([("p", "a.py", at(0.5), at(7200.2)), ("p", "a.py", at(20000), at(20000))], "project string, path string, first_change timestamp, last_change timestamp")
+    got = sorted((r.path, (r.ts.replace(tzinfo=dt.timezone.utc) - START).total_seconds()) for r in watch.missed_changes(log, runs, "1 hour").collect())
+    assert got == [("a.py", 0.0), ("a.py", 7201.0), ("a.py", 9000.0), ("b.py", 0.2), ("b.py", 7300.0)]
+    assert watch.missed_changes(log.limit(0), runs, "1 hour").count() == 0
+    assert watch.missed_changes(log, runs.limit(0), "0 seconds").count() == 7
 
 
 def test_totals_as_a_stream(spark, tmp_path):

@@ -149,6 +149,22 @@ def debounced_history(spark, sf_dir):
     return watch.debounce_history(watch.admitted_changes(changes(spark, sf_dir)), QUIET_HOURS * 3_600_000)
 
 
+@query(
+    "missed_changes",
+    with_views(
+        """SELECT DISTINCT project, path, ts FROM admitted_changes c WHERE ts < (SELECT max(ts) FROM admitted_changes) - INTERVAL 3 DAY
+           AND NOT EXISTS (SELECT 1 FROM runs r WHERE minute(r.first_change) % 10 <> 3 AND r.project = c.project AND r.path = c.path
+             AND c.ts BETWEEN r.first_change AND r.last_change)""",
+        *RUN_VIEWS,
+    ),
+)
+def missed_changes(spark, sf_dir):
+    """Changes of runs that never fired."""
+    log = watch.admitted_changes(changes(spark, sf_dir))
+    runs = watch.debounce_history(log, QUIET_HOURS * 3_600_000)
+    return watch.missed_changes(log, runs.where(F.minute("first_change") % 10 != 3), "3 days", "12 hours")
+
+
 @query(
     "watch_totals",
     with_views(
