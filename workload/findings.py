@@ -194,3 +194,16 @@ def finding_lookup(spark, sf_dir):
 )
 def file_results(spark, sf_dir):
     return ops.file_results(deduped(spark, sf_dir), threshold="MEDIUM")
+
+
+@query(
+    "severity_cube",
+    with_views(
+        f"""SELECT project, file, vuln_class, CAST(grouping(project, file, vuln_class) AS bigint) AS grouping, {COUNTS} FROM deduped
+        GROUP BY GROUPING SETS ((project, file, vuln_class), (project, file), (project, vuln_class), (project), (vuln_class), ())""",
+        *DEDUP_VIEWS,
+    ),
+)
+def severity_cube(spark, sf_dir):
+    sets = (("project", "file", "vuln_class"), ("project", "file"), ("project", "vuln_class"), ("project",), ("vuln_class",), ())
+    return ops.severity_cube(deduped(spark, sf_dir), sets, ("project", "file", "vuln_class"))
