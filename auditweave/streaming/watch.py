@@ -118,21 +118,24 @@ def review_changed(
 
 def watch(
     changes: DataFrame,
-    files: Callable[[list[str]], DataFrame],
-    snapshot: Callable[[list[str]], DataFrame],
+    files: Callable[[DataFrame], DataFrame],
+    snapshot: Callable[[DataFrame], DataFrame],
     reviewer: Reviewer,
     out: str,
     name: str = "watch",
     quiet: str = vocab.DEBOUNCE,
     lateness: str = LATENESS,
+    runs_of: Callable[[DataFrame, str, str], DataFrame] = debounce,
     **options,
 ) -> DataStreamWriter:
     """A writer for ``start()`` that reviews changed files batch by batch into tables below ``out``.
 
     Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in the session, so that a
-    hot path sends one row from each input partition. ``files`` and ``snapshot`` give the current tables
-    of the projects in which something fired, so that a batch reads their partitions only. A repeated batch overwrites its own
-    directory and finds its answers already stored, so nothing is counted or asked twice.
+    hot path sends one row from each input partition. ``files`` and ``snapshot`` get the projects in which something
+    fired as a table with one column, ``project``, and give the current tables of these; a semi join keeps that off
+    the driver. A repeated batch overwrites its own directory and finds its answers already stored, so nothing is
+    counted or asked twice. ``runs_of`` tells when a path fires: ``partial(timers.debounce_timers, clock="arrivals")``
+    does not wait for the watermark.
     """
     spark = changes.sparkSession
 
@@ -141,14 +144,14 @@ def watch(
         try:
             scans = fired.groupBy("project").agg(F.count("*").alias("files_scanned"))
             scans.write.mode("overwrite").parquet(f"{out}/scans/batch_id={batch_id}")
-            projects = [r["project"] for r in fired.select("project").distinct().collect()]
+            projects = fired.select("project").distinct()
             found = review_changed(fired, files(projects), snapshot(projects), reviewer, f"{out}/responses", **options)
             found.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
             fired.select(*RUN).write.mode("overwrite").parquet(f"{out}/runs/batch_id={batch_id}")
         finally:
             fired.unpersist()
 
-    runs = debounce(admitted_changes(changes), quiet, lateness)
+    runs = runs_of(admitted_changes(changes), quiet, lateness)
     return (
         runs.writeStream.outputMode("append")
         .queryName(name)
