@@ -32,10 +32,19 @@ class Written(WriterCommitMessage):
     rows: int
 
 
+def shared(path: str) -> str:
+    """A folder's path without ``file:``; a store without atomic renames is refused."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"a folder that driver and executors mount is needed, got {path}")
+    return path
+
+
 def current(path: str) -> dict | None:
     """The commit that readers see, or None."""
     try:
-        with open(os.path.join(path, CURRENT), encoding="utf-8") as file:
+        with open(os.path.join(shared(path), CURRENT), encoding="utf-8") as file:
             return json.load(file)
     except FileNotFoundError:
         return None
@@ -47,7 +56,7 @@ class ReportWriter(DataSourceWriter):
             raise ValueError("a report is replaced as a whole: use mode overwrite")
         if columns != ["project", "text"]:
             raise ValueError(f"columns project and text are needed, got {columns}")
-        self.path, self.generation = path, f"gen-{uuid.uuid4().hex}"
+        self.path, self.generation = shared(path), f"gen-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> Written:
         context = TaskContext.get()
@@ -130,7 +139,7 @@ def committed_lines(spark: SparkSession, path: str) -> DataFrame:
     schema = "project string, attempt string, text string"
     if not commit["rows"]:
         return spark.createDataFrame([], schema)
-    rows = spark.read.option("recursiveFileLookup", "true").text(os.path.join(path, commit["generation"]))
+    rows = spark.read.option("recursiveFileLookup", "true").text(f"file://{os.path.abspath(os.path.join(shared(path), commit['generation']))}")
     place = F.split(F.col("_metadata.file_path"), "/")
     attempt = F.regexp_replace(F.element_at(place, -1), r"\.txt$", "")
     # The listing quotes the folder's name once more.
@@ -146,7 +155,7 @@ def document_at(path: str, project: str | None) -> str:
     commit = current(path)
     if commit is None:
         raise FileNotFoundError(f"no committed report at {path}")
-    folder = os.path.join(path, commit["generation"], folder_of(project))
+    folder = os.path.join(shared(path), commit["generation"], folder_of(project))
     named = set(commit["attempts"])
     out = []
     for name in sorted(os.listdir(folder)):

@@ -69,4 +69,10 @@ def test_empty_absent_and_wrong(spark, tmp_path):
     assert committed.committed_lines(spark, path).count() == 0
     with pytest.raises(Exception, match="overwrite"):
         parts(spark, ("p", 0, 0, "a")).select("project", "text").write.format(committed.FORMAT).mode("append").option("path", path).save()
+    committed.write_committed(parts(spark, ("p", 0, 0, "a")), f"file:{path}")
+    assert committed.document_at(f"file://{path}", "p") == "a"
+    assert [r.text for r in committed.committed_lines(spark, f"file://{path}").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        committed.current("store://reports")
+    committed.write_committed(parts(spark), path)
     assert json.load(open(os.path.join(path, committed.CURRENT)))["rows"] == 0
