@@ -116,7 +116,7 @@ def test_watch_reviews_changed_files(spark, tmp_path):
     put(spark, folder, "5.json", 5, change(1000, path="a.py"))
     run()  # goes on from its checkpoint
     totals = watch.watch_totals(watch.read_watch(spark, out, "scans"), watch.read_watch(spark, out, "findings")).first()
-    assert (totals.files_scanned, totals.findings) == (5, 3) and asked and all(a == ["p"] for a in asked)
+    assert (totals.files_scanned, totals.findings) == (5, 3) and {tuple(a) for a in asked} <= {("p",), ()} and ["p"] in asked
     assert watch.late_rows(spark, out) == 1
     spark.streams.removeListener(listener)
     # The late change is in the log, no run has it, and one review of it is enough.
