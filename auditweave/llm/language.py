@@ -17,6 +17,7 @@ from auditweave.plans.joins import stored
 SAMPLE_ROWS = 400
 ROUNDS = 4
 PIECE_CHARS = 8
+#: Characters of a run: what a fit counts, and the blocks in which a longer word is scored.
 RUN_CHARS = 24
 #: Words of a fit whose lattices are held at once, and characters of a task's texts.
 EM_WORDS = 5_000
@@ -134,17 +135,56 @@ class PieceModel:
                 flat = np.frombuffer("".join(words[i] for i in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 yield chosen, self.lattice.codes[flat].reshape(-1, size)
 
+    def advance(self, alpha: np.ndarray, arcs, starts: int) -> np.ndarray:
+        """Add to ``alpha`` (place, word, …, language) what the pieces that begin at its first places bring."""
+        between = (1,) * (alpha.ndim - 3)
+        for start in range(starts):
+            alpha[start + 1] += alpha[start] * UNKNOWN
+            for k, (at, piece) in enumerate(arcs[start]):
+                if len(at):
+                    chances = self.probabilities[piece].reshape(len(at), *between, -1)
+                    alpha[start + k + 1, at] += alpha[start, at] * chances
+        return alpha
+
     def forward(self, words: np.ndarray, arcs) -> np.ndarray:
         """Probability of every beginning of every word: the sum over the pieces that may come last."""
         rows, size = words.shape
         alpha = np.zeros((size + 1, rows, len(self.languages)))
         alpha[0] = 1.0
-        for start in range(size):
-            alpha[start + 1] += alpha[start] * UNKNOWN
-            for k, (at, piece) in enumerate(arcs[start]):
-                if len(at):
-                    alpha[start + k + 1, at] += alpha[start, at] * self.probabilities[piece]
-        return alpha
+        return self.advance(alpha, arcs, size)
+
+    def score_long(self, word: str) -> np.ndarray:
+        """Log probability of a word of any length in each language, over all its segmentations.
+
+        A block of the word maps the sums that pieces begun before it bring to its first places onto those
+        that pieces begun before its end bring to the places after it. These maps are found for many
+        blocks at once and then applied one after the other, so no segmentation across a border is lost
+        and memory does not grow with the word, but for one code per letter.
+        """
+        reach = max(1, self.lattice.longest)
+        size = max(RUN_CHARS, reach)
+        letters = self.lattice.codes[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        blocks = -(-len(letters) // size)
+        filled = np.zeros(blocks * size + reach - 1, dtype=letters.dtype)  # no piece goes through a letter of code 0
+        filled[: len(letters)] = letters
+        windows = np.lib.stride_tricks.sliding_window_view(filled, size + reach - 1)[::size]
+        state = np.zeros((reach, len(self.languages)))
+        state[0] = 1.0
+        logs = np.zeros(len(self.languages))
+        most = max(1, self.fewer(4_000) // reach)
+        for begin in range(0, blocks, most):
+            part = windows[begin : begin + most]
+            alpha = np.zeros((size + reach, len(part), reach, len(self.languages)))
+            for place in range(reach):
+                alpha[place, :, place] = 1.0
+            self.advance(alpha, self.lattice.arcs(part), size)
+            for step in alpha[size:].transpose(1, 2, 0, 3):
+                state = np.einsum("il,ijl->jl", state, step)
+                largest = state.max(axis=0)
+                state /= largest
+                logs += np.log(largest)
+        # Behind the word's end one unknown letter follows another up to the end of its last block.
+        return logs + np.log(state[0]) - (blocks * size - len(letters)) * np.log(UNKNOWN)
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log probability of each run of letters in each language."""
@@ -182,7 +222,7 @@ class PieceModel:
         scores = self.score_words([START + word[: RUN_CHARS - 1] for word in known])
         for word, number in known.items():
             if len(word) >= RUN_CHARS:
-                scores[number] = self.score_words(runs(word)).sum(axis=0)
+                scores[number] = self.score_long(START + word)
         for i, own in enumerate(ids):
             if len(own):
                 logs = np.log(self.priors)
@@ -251,8 +291,8 @@ def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE
 def identified(docs: DataFrame, model: PieceModel, column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language of ``column`` and its probability.
 
-    Nulls, empty texts and texts without a letter: ``und`` and 0. Whole texts are read; a run of letters
-    of over RUN_CHARS is scored in parts. Ties go to the first language by name. Repeated rows are alike.
+    Nulls, empty texts and texts without a letter: ``und`` and 0. Whole texts are read and every word is
+    summed over all its segmentations, however long it is. Ties go to the first language by name. Repeated rows are alike.
     """
 
     def worker():

@@ -39,6 +39,50 @@ def test_forward_sums_all_segmentations():
             assert scores[i, k] == pytest.approx(np.log(brute(word, PIECES, probabilities[:, k])))
 
 
+def forward(word, pieces, probabilities):
+    """``brute`` by the textbook recursion in logs, for words that have too many segmentations to list."""
+    sums = [0.0] + [-np.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            part = word[start:end]
+            p = (probabilities[pieces.index(part)] if part in pieces else 0.0) + (language.UNKNOWN if len(part) == 1 else 0.0)
+            if p:
+                sums[end] = np.logaddexp(sums[end], sums[start] + np.log(p))
+    return sums[-1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 23, 24, 25, 48, 49, 100, 331])
+def test_long_words_are_summed_over_all_segmentations(size):
+    rng = np.random.default_rng(size)
+    pieces = [*PIECES, "abab", "babba", "bbbbbbbb", "aéa"]
+    probabilities = rng.random((len(pieces), 3)) * [1, 1e-3, 1e-9]
+    model = language.PieceModel(["x", "y", "z"], pieces, probabilities, np.ones(3) / 3)
+    word = "▁" + "".join(rng.choice(list("aaabbbbé"), size))
+    got = model.score_long(word)
+    for k in range(3):
+        assert got[k] == pytest.approx(forward(word, pieces, probabilities[:, k]), rel=1e-10)
+        if size < 9:
+            assert got[k] == pytest.approx(np.log(brute(word, pieces, probabilities[:, k])))
+
+
+def test_predictions_equal_brute_force_posteriors():
+    rng = np.random.default_rng(5)
+    probabilities = rng.random((len(PIECES), 2))
+    model = language.PieceModel(["x", "y"], PIECES, probabilities, np.array([0.3, 0.7]))
+    texts = ["abba " + "ab" * 50 + " Bb, bb", "b" * 130, "a1b " * 40, "é" * 30]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        words = ["▁" + w for w in language.WORD.findall(text.lower())]
+        logs = [np.log(model.priors[k]) + sum(forward(w, PIECES, probabilities[:, k]) for w in words) for k in (0, 1)]
+        assert name == "xy"[int(np.argmax(logs))]
+        assert score == pytest.approx(1 / np.exp(np.array(logs) - max(logs)).sum())
+
+
+def test_a_very_long_word(spark):
+    model = language.PieceModel(["x", "y"], PIECES, np.full((len(PIECES), 2), [0.2, 0.1]), np.array([0.5, 0.5]))
+    assert model.predict(["ab" * 150_000]) == (["x"], [1.0])
+
+
 def test_expected_uses_equal_brute_force():
     probabilities = np.full((len(PIECES), 1), 0.2)
     model = language.PieceModel(["x"], PIECES, probabilities, np.array([1.0]))
