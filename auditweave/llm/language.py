@@ -7,14 +7,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import map_texts, packed_rows, unpacked_rows
-from auditweave.plans.joins import stored
+from auditweave.plans.joins import lookup_join, stored
 
 #: Rows per language that a model is fitted on.
 SAMPLE_ROWS = 400
+#: Different runs per language that a fit counts, the most frequent first, however long the sampled texts are.
+SAMPLE_RUNS = 50_000
 ROUNDS = 4
 PIECE_CHARS = 8
 #: Characters of a run: what a fit counts, and the blocks in which a longer word is scored.
@@ -239,11 +241,11 @@ def training_counts(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[
 
     The rows are those with the smallest hashes, by a share that follows from the counts, so the sample
     is the same in each run and its size does not grow with the table. Runs are counted where the texts
-    are; only the counts of different runs reach the driver.
+    are; the counts of the SAMPLE_RUNS most frequent runs of each language reach the driver.
     """
-    counts = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("of_rows"))
+    counts = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("of_rows")), "languages")
     draw = F.pmod(F.xxhash64(*labelled.columns), F.lit(1_000_000)) / 1e6
-    drawn = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(counts), F.col("lang") == F.col("of_lang"))
+    drawn = lookup_join(labelled.select("lang", "text", draw.alias("draw")), counts, "lang", spread=("draw",))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("of_rows"))
     picked = stored(drawn.where(F.col("draw") < share).select("lang", "text"), "language")
 
@@ -256,7 +258,9 @@ def training_counts(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), type=pa.int64())], names=["lang", "run", "n"])
 
     uses = picked.mapInArrow(count, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    return {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}, sorted(map(tuple, uses.collect()))
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "run")
+    kept = uses.withColumn("place", F.row_number().over(often)).where(F.col("place") <= SAMPLE_RUNS).drop("place")
+    return {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}, sorted(map(tuple, kept.collect()))
 
 
 def fit(labelled: DataFrame, pieces: list[str] | None = None, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> PieceModel:

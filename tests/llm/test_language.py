@@ -138,3 +138,11 @@ def test_every_labelled_language_is_learned(spark):
     assert model.languages == sorted({r[2] for r in rows})
     got = language.identified(docs, model).where("lang = 'lang0'").collect()
     assert len(got) == 2 and {r.lang_pred for r in got} == {"lang0"}
+
+
+def test_the_runs_of_a_fit_are_bounded(spark, monkeypatch):
+    docs = documents(spark, [(1, "aa aa aa bb bb cc", "x", "s"), (2, "bb bb aa", "y", "s"), (3, "dd", "y", "s")])
+    labelled = docs.select("text", "lang")
+    assert len(language.training_counts(labelled)[1]) == 6
+    monkeypatch.setattr(language, "SAMPLE_RUNS", 2)
+    assert language.training_counts(labelled) == ({"x": 1, "y": 2}, [("x", "▁aa", 3), ("x", "▁bb", 2), ("y", "▁aa", 1), ("y", "▁bb", 2)])
