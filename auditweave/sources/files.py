@@ -21,8 +21,8 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
 
     Without a ``project`` name the first directory below the root names it. Filters on
     ``size_bytes`` reach the scan, and a plan that does not use ``raw`` opens no file. Files that
-    cannot be read have no row; :func:`tree_errors` names them. The driver lists the files, so trees
-    of thousands of projects fit; beyond that keep the files in a table.
+    cannot be read have no row; :func:`tree_errors` names them. The driver lists the files, and
+    Spark's scan leaves out names that begin with a dot or an underscore; :mod:`auditweave.sources.tree` does neither.
     """
     base = _resolved(spark, root)
     rows = (
