@@ -4,11 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from auditweave.functions import findings as fx
 from auditweave.plans.joins import shared_folder
-from auditweave.sinks import committed, reports
-from workload.base import query
+from auditweave.sinks import committed, lookup, reports
+from workload.base import ORACLES, query, whole
+from workload.findings import COLUMNS, deduped
 from workload.outputs import _OBJECT, _ORDER, _RESULT, _TITLE, REPORT_VIEWS, scanned, severe
-from workload.views import SQL, raw_findings, with_views
+from workload.views import SQL, baseline, raw_findings, with_views
 
 
 def _elements(part: int, element: str, source: str, order: str) -> str:
@@ -84,3 +86,12 @@ def committed_reports(spark, sf_dir):
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     committed.write_committed(json_report_parts(spark, sf_dir), path)
     return committed.committed_lines(spark, path).select("project", "text")
+
+
+@query("table_lookup", ORACLES["finding_lookup"])
+def table_lookup(spark, sf_dir):
+    """``finding_lookup`` in a stored table that is laid out by ids."""
+    path = f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}"
+    lookup.write_lookup_table(deduped(spark, sf_dir), path)
+    wanted = baseline(spark, sf_dir).select(fx.finding_id().alias("finding_id"))
+    return whole(lookup.find_in_table(spark, path, wanted), *COLUMNS)
