@@ -1,3 +1,5 @@
+import functools
+import json
 import os
 import random
 import uuid
@@ -5,7 +7,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from auditweave import vocab
+from auditweave.operators import context as ctx
+from auditweave.plans import review as rv
 from auditweave.streaming import timers, watch
+from tests.test_reviews import item
 from tests.test_streaming import change, put, stream, table, wait_for
 
 
@@ -73,6 +79,31 @@ def test_arrivals_fire_without_a_watermark(rocksdb, tmp_path):
         query.stop()
 
 
+def test_watch_reviews_without_waiting_for_the_watermark(rocksdb, tmp_path):
+    spark, folder, out = rocksdb, str(tmp_path / "in"), str(tmp_path / "out")
+    os.mkdir(folder)
+    files = spark.createDataFrame([(p, "a.py", 20, "def f():\n    pass\n") for p in ("p", "never")], vocab.FILES)
+
+    def client():
+        return lambda system, prompt: json.dumps([item(file="", severity="HIGH")])
+
+    put(spark, folder, "0.json", 0, change(0), change(0.1))
+    query = watch.watch(
+        stream(spark, folder), lambda projects: files.join(projects, "project", "left_semi"), lambda projects: ctx.empty_snapshot(files),
+        rv.per_prompt(client, "s"), out, name=f"timed-{uuid.uuid4().hex}", lateness="1 hour",
+        runs_of=functools.partial(timers.debounce_timers, clock="arrivals"),
+    ).start()
+    try:
+        def reviewed():
+            paths = os.path.isdir(f"{out}/runs") and [d for d in os.listdir(f"{out}/runs") if os.path.exists(f"{out}/runs/{d}/_SUCCESS")]
+            return bool(paths) and watch.read_watch(spark, out, "runs").count() == 1
+
+        wait_for(reviewed, 90)
+    finally:
+        query.stop()
+    assert [(r.project, r.file) for r in watch.read_watch(spark, out, "findings").collect()] == [("p", "a.py")]
+
+
 def test_other_clocks_are_refused(spark):
     with pytest.raises(ValueError):
         timers.debounce_timers(table(spark, change(0)), clock="sun")
