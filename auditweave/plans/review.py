@@ -2,9 +2,11 @@
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.errors import AnalysisException
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,35 +26,50 @@ DIFF_CARRY = ("diff_id", "file_seq")
 DIFF_CHUNK_KEYS = ("project", *DIFF_CARRY, "chunk_index")
 
 
-def per_prompt(make_client: Callable[[], Callable[[str, str], str]], system_prompt: str) -> Reviewer:
-    """Reviewer that makes one client per task and calls it per prompt; failures become rows."""
+def per_prompt(make_client: Callable[[], Callable[[str, str], str]], system_prompt: str, workers: int = 1) -> Reviewer:
+    """Reviewer that makes one client per task and calls it per prompt; failures become rows.
+
+    ``workers`` calls of a task are in flight at a time, so the client must allow calls from several
+    threads if there is more than one. An executor has at most its task slots times ``workers`` calls open.
+    """
 
     def review(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make_client()
-        for batch in batches:
-            answers = []
-            for prompt in batch["prompt"]:
-                try:
-                    answers.append((call(system_prompt, prompt).strip(), None))
-                except Exception as failure:  # a failed call must not fail the batch
-                    answers.append((None, str(failure) or type(failure).__name__))
-            out = batch[["prompt_id", "attempt"]].copy()
-            out["response"] = [a for a, _ in answers]
-            out["error"] = [e for _, e in answers]
-            yield out
+
+        def answer(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return call(system_prompt, prompt).strip(), None
+            except Exception as failure:  # a failed call must not fail the batch
+                return None, str(failure) or type(failure).__name__
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                answers = list(pool.map(answer, batch["prompt"]))
+                out = batch[["prompt_id", "attempt"]].copy()
+                out["response"] = [a for a, _ in answers]
+                out["error"] = [e for _, e in answers]
+                yield out
 
     return review
 
 
-def review(prompts: DataFrame, reviewer: Reviewer, tasks: int | None = None) -> DataFrame:
-    """Run ``reviewer`` on ``prompt_id, attempt, prompt`` rows.
+def call_slots(cpus: int) -> ResourceProfile:
+    """A profile for ``review`` whose tasks take ``cpus`` cores each: an executor of c cores runs c // cpus of them.
+
+    Only the stage that calls the model is bound by it. It needs a cluster manager; local sessions refuse it.
+    """
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
+
+
+def review(prompts: DataFrame, reviewer: Reviewer, tasks: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Run ``reviewer`` on ``prompt_id, attempt, prompt`` rows, in tasks of the resource ``profile`` if given.
 
     The result is lazy: write it before using it twice, or every use calls the model again.
     """
     rows = prompts.select("prompt_id", "attempt", "prompt")
     if tasks:
         rows = rows.repartition(tasks)
-    return rows.mapInPandas(reviewer, vocab.RESPONSES)
+    return rows.mapInPandas(reviewer, vocab.RESPONSES, profile=profile)
 
 
 def asked_prompts(prompts: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
@@ -109,6 +126,7 @@ def review_to_table(
     keys: Sequence[str] = CHUNK_KEYS,
     run_id: str | None = None,
     buckets: int = BUCKETS,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Ask all pending prompts and append the answers to the table at ``path``.
 
@@ -133,7 +151,7 @@ def review_to_table(
         for number in range(buckets):
             part = with_texts(texts.filter(F.col("_bucket") == number), open_, keys)
             if not part.isEmpty():
-                answered = review(part, reviewer, tasks)
+                answered = review(part, reviewer, tasks, profile)
                 answered = answered.withColumns({"run_id": F.lit(run_id), "prefix": _prefix()})
                 answered.write.mode("append").partitionBy("prefix").parquet(path)
     return responses_to(asked, path)

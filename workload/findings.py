@@ -1,10 +1,14 @@
 """Queries from answers to findings, counts and verdicts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditweave.functions import findings as fx
 from auditweave.operators import findings as ops
 from auditweave.operators.responses import rejected_items, response_items, valid_findings
+from auditweave.plans.joins import shared_folder
+from auditweave.sinks import bucketed
 from workload.base import query, whole
 from workload.views import FINDINGS, PARSED, SQL, baseline, raw_findings, reviewed, with_views
 
@@ -117,6 +121,17 @@ def new_findings(spark, sf_dir):
     return ops.without_known(deduped(spark, sf_dir), baseline(spark, sf_dir)).select(*COLUMNS)
 
 
+@query("stored_baseline", with_views(f"SELECT {_COLUMNS}, known FROM flagged", *KNOWN_VIEWS))
+def stored_baseline(spark, sf_dir):
+    """The baseline as a table in buckets, of which the findings read what they meet."""
+    path = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    earlier = baseline(spark, sf_dir)
+    bucketed.write_baseline(earlier.where("severity = 'HIGH'"), path)
+    bucketed.add_to_baseline(earlier, path)
+    found = deduped(spark, sf_dir)
+    return ops.flag_known(found, bucketed.baseline_for(found, path)).select(*COLUMNS, "known")
+
+
 @query(
     "suppressed_counts",
     with_views(

@@ -2,6 +2,7 @@
 
 import json
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from auditweave.operators.chunking import chunk_text
 from auditweave.operators.context import rendered_contexts
 from auditweave.operators.prompts import EXPLAIN_SYSTEM_PROMPT, build_prompts, explain_prompts
 from auditweave.plans import review as rv
+from auditweave.plans.joins import shared_folder
 from auditweave.plans.scan import DIFF_SCOPE, deduplicated_of, diff_prompts, findings_of, scan_prompts
+from auditweave.sinks import bucketed
 from workload.base import query, whole
 from workload.context import PROMPT_VIEWS, _prompt_sql, _SRC_CHUNKS, _SRC_LANG, src_prompts
 from workload.diffs import DIFF_CHUNK_VIEWS, MAX_TOKENS as DIFF_TOKENS
@@ -125,6 +128,23 @@ def replayed_answers(spark, sf_dir):
     return whole(rv.replay(prompts, _stored(prompts)).drop("line_start"))
 
 
+@query(
+    "bucketed_answers",
+    with_views(
+        """SELECT project, file_path, chunk_index, 'answer ' || first AS response
+           FROM prompt_rows p JOIN prompt_ids i USING (prompt_id) WHERE i.ok AND first % 4 > 0 AND project LIKE '%1'""",
+        *STORED_VIEWS,
+    ),
+)
+def bucketed_answers(spark, sf_dir):
+    """Some projects are reviewed again from the stored answers of all."""
+    prompts = _bare_prompts(spark, sf_dir)
+    path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    bucketed.write_answers(_stored(prompts), path)
+    again = prompts.where(F.col("project").like("%1"))
+    return whole(rv.replay(again, bucketed.answers_for(again, path)).drop("line_start"))
+
+
 @query(
     "review_progress",
     with_views(
