@@ -221,6 +221,23 @@ def test_review_retries_resumes_and_replays(spark, tmp_path):
     assert {(r.project, r.file, r.line_start) for r in found} == {("p", "a.py", 5), ("copy", "a.py", 5)}
 
 
+def test_chunks_of_one_prompt_keep_their_own_answers(spark):
+    """Files and diffs with equal prompts: each chunk's stored answer reaches that chunk, in any order of the rows."""
+    for carry, by in (((), rv.CHUNK_KEYS), (rv.DIFF_CARRY, rv.DIFF_CHUNK_KEYS)):
+        chunks = spark.range(40).select(
+            F.lit("p").alias("project"), *[(F.col("id") % 2).alias(c) for c in carry], F.lit("a.py").alias("file_path"),
+            F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 10 + 1).alias("line_start"), F.lit("same").alias("prompt_id"))
+        answered = chunks.select("prompt_id", *by, F.lit(1).alias("attempt"), F.concat(F.lit("a"), F.col("chunk_index").cast("string")).alias("response"))
+        got = rv.replay(chunks, answered, carry, by).collect()
+        assert sorted((r.chunk_index, r.response) for r in got) == [(i, f"a{i}") for i in range(40)]
+
+
+def test_answers_of_one_attempt_are_taken_alike_in_every_order(spark):
+    rows = [("x", 1, f"r{i}", None) for i in range(9)]
+    for given in (rows, rows[::-1]):
+        assert [r.response for r in rv.answers(spark.createDataFrame(given, vocab.RESPONSES).coalesce(1)).collect()] == ["r8"]
+
+
 def test_a_job_that_dies_keeps_finished_buckets(spark, tmp_path):
     files = spark.createDataFrame([("p", f"f{i}.py", 9, f"code {i}") for i in range(24)], vocab.FILES)
     prompts = build_prompts(chunk_text(files), ctx.rendered_contexts(ctx.empty_snapshot(files)))
