@@ -2,11 +2,14 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditweave import catalogues, vocab
 from auditweave.catalogues import Catalogue
 from auditweave.functions import patterns as rx
+from auditweave.functions import trigrams
 from auditweave.operators import context as ctx
+from auditweave.plans.joins import lookup_join
 
 EVERY_PATTERN = [
     p for kind in (catalogues.FRAMEWORKS, catalogues.AUTH, catalogues.ROUTES, catalogues.MODELS) for ps in kind.values() for p in ps
@@ -189,3 +192,50 @@ def test_refresh_rebuilds_only_changed(spark):
     assert got == {"a": "flask", "b": "unknown", "new": "flask"}
     defaults = ctx.empty_snapshot(spark.createDataFrame([("a",)], "project string")).first()
     assert defaults.auth_summary == ctx.NO_AUTH and defaults.routes == []
+
+
+def test_files_are_not_shuffled_where_few_projects_are_cut(spark):
+    rows = [(f"p{i % 5}", f"f{i}.py", 3, "x=1") for i in range(50)] + [(None, "n.py", 3, "x=1")]
+    tree = spark.createDataFrame(rows, "project string, path string, size_bytes bigint, content string")
+    many = tree.crossJoin(spark.range(25_000).select(F.col("id").cast("string").alias("name"))).withColumn("project", F.concat("project", "name"))
+    plan = ctx.sample_files(many, 11)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    for limit in (1, 9, 10, 11):
+        got = sorted((r.project, r.path) for r in ctx.sample_files(tree, limit).collect())
+        assert got == sorted(x for p in range(5) for x in sorted((p_, f) for p_, f, _, _ in rows if p_ == f"p{p}")[:limit])
+
+
+def test_a_large_lookup_is_not_broadcast(spark, tmp_path):
+    """The salts make a table eight times as long as its stored size tells."""
+    spark.range(1000).write.parquet(str(tmp_path / "keys"))
+    small = spark.read.parquet(str(tmp_path / "keys"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = lookup_join(spark.range(2000), small, "id", how, spread=["id"], max_rows=10)
+        assert joined.count() == {"inner": 1000, "left": 2000, "left_semi": 1000, "left_anti": 1000}[how]
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searched_kinds_equal_those_of_the_whole_search(spark):
+    texts = ["from flask import Flask\n@app.get('/a')\nclass U(BaseModel): pass\n", "if user.is_admin: @login_required", "nothing", None]
+    tree = spark.createDataFrame([(f"p{i % 3}", f"f{i}.py", 3, texts[i % 4]) for i in range(12)], "project string, path string, size_bytes bigint, content string")
+    every = {r.project: r for r in ctx.project_features(tree).collect()}
+    columns = {"framework": ("framework", "language"), "auth": ("auth_counts", "auth_files"), "routes": ("routes", "language"), "models": ("models",), "roles": ("roles",)}
+    for kind, names in columns.items():
+        for row in ctx.project_features(tree, kinds=(kind,)).collect():
+            assert [row[n] for n in names] == [every[row.project][n] for n in names]
+    assert any(r.roles for r in every.values()) and any(r.routes for r in every.values())
+
+
+def test_beginnings_hide_no_match(spark):
+    """Expressions with a look-ahead find what they find without it, also where the mark stands in the text."""
+    assert trigrams.starts("(?:is_)?admin") == {"is", "ad"}
+    assert [trigrams.starts(p) for p in (r"\vab", "[a[bc]]x", "[a&&b]x", "a|bc", r"\w+", "(?i)ab")] == [None] * 6
+    words = ["is_admin", "admin", "superuser", "role = ", "Role.", "ADMIN", "has_role", "staffadmin", "permissionis_authorized", "adm", "é", "\n"]
+    texts = [" ".join(words[(i * 7 + k * k) % len(words)] for k in range(i % 9 + 1)) for i in range(60)] + ["", "admin", "xadmin"]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string")
+    old = rx.FLAGS + "|".join(f"(?:{p})" for p in catalogues.ROLES)
+    hits = rows.select(F.regexp_extract_all("content", F.lit(old), F.lit(0)), F.regexp_extract_all("content", F.lit(rx.any_of(catalogues.ROLES)), F.lit(0)))
+    assert rx.beginning(catalogues.ROLES) and all(a == b for a, b in hits.collect())
+    marked = rows.select("content", F.concat("content", F.lit("z" * 60 + ctx.MARK)).alias("with_mark"))
+    plain = [r[0] for r in marked.withColumn("content", F.concat("content", F.lit("z" * 60 + "y"))).select(ctx._role_contexts(catalogues.ROLES)).collect()]
+    assert plain == [r[0] for r in marked.withColumn("content", F.col("with_mark")).select(ctx._role_contexts(catalogues.ROLES)).collect()]
