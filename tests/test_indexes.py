@@ -158,6 +158,20 @@ def test_moves_are_told_from_edits(spark):
     assert trees.changed_files(old, old).count() == 0
 
 
+def test_changed_files_reads_each_manifest_once(spark, tmp_path):
+    """The texts behind a manifest are read once, whatever the kinds of change; a null project or size pairs with none."""
+    schema = "project string, path string, size_bytes long, content_hash string"
+    old = [("p", "a.py", 1, "x"), ("p", "b.py", 1, "x"), ("p", "c.py", 1, "y"), ("p", "d.py", None, "z"), (None, "n.py", 1, "x"), ("q", "a.py", 1, "x")]
+    new = [("p", "m.py", 1, "x"), ("p", "c.py", 1, "x"), ("p", "e.py", None, "z"), (None, "n.py", 1, "x"), ("q", "a.py", 1, "x")]
+    for name, rows in (("old", old), ("new", new)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    changes = trees.changed_files(*[spark.read.parquet(str(tmp_path / name)) for name in ("old", "new")])
+    assert changes._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    assert sorted(map(tuple, changes.collect()), key=str) == sorted([
+        (None, "n.py", "added", None), (None, "n.py", "removed", None), ("p", "b.py", "removed", None), ("p", "c.py", "edited", None),
+        ("p", "d.py", "removed", None), ("p", "e.py", "added", None), ("p", "m.py", "moved", "a.py")], key=str)
+
+
 def test_a_refresh_takes_changes_or_a_manifest(spark):
     tree = trees_of(spark)
     with pytest.raises(ValueError):
