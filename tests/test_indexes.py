@@ -172,6 +172,17 @@ def test_changed_files_reads_each_manifest_once(spark, tmp_path):
         ("p", "d.py", "removed", None), ("p", "e.py", "added", None), ("p", "m.py", "moved", "a.py")], key=str)
 
 
+def test_a_refresh_makes_digests_once(spark, tmp_path):
+    """What comes out of the comparison of manifests is stored, so the refreshed rows read no manifest and hash no text."""
+    before = trees_of(spark)
+    trees.file_manifest(before).write.parquet(str(tmp_path / "old"))
+    after = before.where("project <> 'p5' OR path NOT LIKE 'src/plain%'")
+    rows = context.refresh_snapshot(context.build_snapshot(before), after, manifest=spark.read.parquet(str(tmp_path / "old")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "content_hash" not in plan and "md5(" not in plan
+    assert listed(rows) == listed(context.build_snapshot(after))
+
+
 def test_a_refresh_takes_changes_or_a_manifest(spark):
     tree = trees_of(spark)
     with pytest.raises(ValueError):
