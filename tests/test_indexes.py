@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditweave.catalogues import DEFAULT_CATALOGUE
+from auditweave.functions import trigrams
 from auditweave.functions.trigrams import needed
 from auditweave.operators import context, search_index
 from auditweave.operators import manifest as trees
@@ -127,6 +128,57 @@ def test_a_search_reads_its_shards_only(spark, tmp_path):
     assert [r.path for r in search_index.candidates(index, tree, ["flask"]).collect()] == ["hit.py"]
 
 
+def test_pieces_of_texts_equal_those_of_the_search(spark):
+    texts = ["", "ab", "abc", "abcabc", "a\nb\r\x85", "\U0001f600", "a\U0001f600b\U0001d54fcd", "\U0001f600ab", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", trigrams.pieces(F.col("t")).alias("p")).collect()
+    piece, place, names = trigrams.pieces_of([t or "" for t in texts])
+    assert {(r.i, p) for r in rows for p in r.p or ()} == {(i, names[p]) for i, p in zip(place.tolist(), piece.tolist())}
+    assert len(set(names)) == len(names)
+
+
+def many_files(spark):
+    """Files of which some share their number, with rare and frequent pieces."""
+    rows = [(f"p{i % 9}", f"f{i}.py", f"from flask import x{i}\n" if i % 7 else f"express() {'wide' * (i % 5)}") for i in range(400)]
+    return files(spark, [*rows, *rows[:40], ("p0", "empty.py", ""), ("p0", "gone.py", None), (None, "n.py", "from flask"), ("p1", None, "from flask")])
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_a_stored_index_holds_the_same_postings(spark, tmp_path, blocks):
+    tree = many_files(spark).coalesce(2)
+    index = search_index.index_of(tree)
+    search_index.write_index(search_index.index_of(tree, blocks=blocks), str(tmp_path / "index"))
+    read = search_index.read_index(spark, str(tmp_path / "index"))
+    assert set(search_index.postings(read).collect()) == set(index.collect())
+    for patterns in (["nowhere"], [r"express\(\)", "import x1"]):
+        want = {r.file for r in tree.where(F.col("content").rlike("|".join(f"(?:{p})" for p in patterns))).select(search_index.file_key()).collect()}
+        assert {r.file for r in search_index.candidate_keys(read, patterns).collect()} == want
+    changed = spark.createDataFrame([("p1", "f1.py")], "project string, path string")
+    later = tree.where("path IS NULL OR path <> 'f1.py'")
+    assert set(search_index.update_index(read, changed, later).collect()) == set(search_index.index_of(later).collect())
+
+
+def test_a_stored_index_is_small(spark, tmp_path):
+    """A posting takes less than a byte where pieces are frequent; a number for each file would take eight."""
+    tree = files(spark, [(f"p{i % 50}", f"src/{i}.py", TEXTS["express"] + TEXTS["django"] + str(i)) for i in range(4000)]).coalesce(1)
+    search_index.write_index(search_index.index_of(tree, blocks=True), str(tmp_path / "index"))
+    size = sum(os.path.getsize(f"{folder}/{name}") for folder, _, names in os.walk(tmp_path) for name in names if name.endswith(".parquet"))
+    assert size < search_index.index_of(tree).count()
+
+
+def test_blocks_are_made_without_an_exchange(spark):
+    plan = search_index.index_of(many_files(spark), blocks=True)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_texts_of_matches_are_searched_by_number(spark, tmp_path):
+    """Files without a project or path, and repeated ones, as a search of the texts finds them."""
+    tree = many_files(spark)
+    search_index.write_index(search_index.index_of(tree, blocks=True), str(tmp_path / "index"))
+    got = search_index.matches(search_index.read_index(spark, str(tmp_path / "index")), tree, ["from flask"])
+    want = tree.where("project IS NOT NULL AND path IS NOT NULL AND content LIKE '%from flask%'").select("project", "path")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_deleted_moved_and_edited_files_each_rebuild_one_project(spark):
     before = trees_of(spark)
     moved = F.when((F.col("project") == "p3") & F.col("path").startswith("src/django"), F.lit("lib/moved.py")).otherwise(F.col("path"))
