@@ -285,9 +285,10 @@ def changed_patterns(old: Catalogue, new: Catalogue) -> list[str] | None:
     return list(dict.fromkeys(out))
 
 
-def indexed_snapshot(files: DataFrame, index: DataFrame, catalogue: Catalogue, limit: int | None = vocab.SAMPLE_FILES) -> DataFrame:
+def indexed_snapshot(files: DataFrame, index: DataFrame, catalogue: Catalogue, limit: int | None = vocab.SAMPLE_FILES,
+                     projects: DataFrame | None = None) -> DataFrame:
     """The same rows as ``build_snapshot``; texts that no pattern can match are not read."""
-    return build_snapshot(files, catalogue, limit, candidate_keys(index, catalogue_patterns(catalogue)))
+    return build_snapshot(files, catalogue, limit, candidate_keys(index, catalogue_patterns(catalogue)), projects)
 
 
 def recatalogued(stored: DataFrame, files: DataFrame, index: DataFrame, old: Catalogue, new: Catalogue,
@@ -302,7 +303,7 @@ def recatalogued(stored: DataFrame, files: DataFrame, index: DataFrame, old: Cat
         return indexed_snapshot(files, index, new, limit)
     if not changed:
         return stored
-    names = candidates(index, admitted(files), changed).select("project").distinct()
-    touched = lookup_join(files, names, "project", "left_semi", spread=["path"])
+    # Stored, since every read of the files below would look the candidates up once more.
+    names = stored_once(candidates(index, admitted(files), changed).select("project").distinct(), "touched")
     kept = lookup_join(stored, names, "project", "left_anti", spread=["framework"])
-    return kept.unionByName(indexed_snapshot(touched, index, new, limit))
+    return kept.unionByName(indexed_snapshot(files, index, new, limit, names))

@@ -179,6 +179,18 @@ def test_texts_of_matches_are_searched_by_number(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_a_new_catalogue_looks_candidates_up_once(spark, tmp_path):
+    """The names of the projects to build are stored, so the rows read no candidates of the changed patterns again."""
+    tree = trees_of(spark)
+    search_index.write_index(search_index.index_of(tree, blocks=True), str(tmp_path / "index"))
+    index = search_index.read_index(spark, str(tmp_path / "index"))
+    old = dataclasses.replace(DEFAULT_CATALOGUE, models={"python": []}, roles=[])
+    rows = search_index.recatalogued(context.build_snapshot(tree, old), tree, index, old, DEFAULT_CATALOGUE)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "held" not in plan
+    assert listed(rows) == listed(context.build_snapshot(tree))
+
+
 def test_deleted_moved_and_edited_files_each_rebuild_one_project(spark):
     before = trees_of(spark)
     moved = F.when((F.col("project") == "p3") & F.col("path").startswith("src/django"), F.lit("lib/moved.py")).otherwise(F.col("path"))
